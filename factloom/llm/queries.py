@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions.text import value_key
+from factloom.llm.fact_history import judge_batches
 from factloom.llm.format_duplicates import format_duplicates, parse_payloads, table_facts
 from factloom.llm.term_frequency import term_frequencies
 
@@ -38,9 +39,20 @@ def p2_distinct_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_duplicates(_all_facts(spark, sf_dir))[0]
 
 
+def p4_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every proposal with a key: new, exact or near."""
+    return judge_batches(_read(spark, sf_dir, "triplets"), _read(spark, sf_dir, "proposals"), _read(spark, sf_dir, "relation_schema"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_verdicts(spark, sf_dir).filter("verdict <> 'new'")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_predicate_frequencies": p1_predicate_frequencies,
     "p2_found": p2_found,
     "p2_distinct_facts": p2_distinct_facts,
+    "p4_found": p4_found,
+    "p4_verdicts": p4_verdicts,
 }
