@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,6 +30,22 @@ def local_session(cores: str = "*", app: str = "factloom", partitions: int = 8)
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package's modules to the Python workers of a session, once; on a cluster they have no copy of their own."""
+    context = spark.sparkContext
+    if getattr(context, "_factloom_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="factloom-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = f"{folder}/factloom-code.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    context.addPyFile(archive)
+    context._factloom_shipped = True
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one.
 
