@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions.text import value_key
+from factloom.llm.abuse import flagged, score_documents, source_rates
 from factloom.llm.fact_history import judge_batches
 from factloom.llm.format_duplicates import format_duplicates, parse_payloads, table_facts
 from factloom.llm.term_frequency import term_frequencies
@@ -48,6 +49,20 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_verdicts(spark, sf_dir).filter("verdict <> 'new'")
 
 
+def p8_document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its scores."""
+    return score_documents(_read(spark, sf_dir, "documents"), extra=("source",))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flagged(score_documents(_read(spark, sf_dir, "documents")))
+
+
+def p8_source_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rates of abusive, hateful and sexual documents of every source."""
+    return source_rates(p8_document_scores(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": p1_found,
     "p1_predicate_frequencies": p1_predicate_frequencies,
@@ -55,4 +70,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_distinct_facts": p2_distinct_facts,
     "p4_found": p4_found,
     "p4_verdicts": p4_verdicts,
+    "p8_found": p8_found,
+    "p8_document_scores": p8_document_scores,
+    "p8_source_rates": p8_source_rates,
 }
