@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions.text import value_key
 from factloom.llm.abuse import flagged, score_documents, source_rates
+from factloom.llm.contamination import find_leaks
 from factloom.llm.fact_history import judge_batches
 from factloom.llm.format_duplicates import format_duplicates, parse_payloads, table_facts
+from factloom.llm.mixing import count_tokens, length_weight, mix_sources
 from factloom.llm.term_frequency import term_frequencies
 
 
@@ -49,6 +51,36 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_verdicts(spark, sf_dir).filter("verdict <> 'new'")
 
 
+def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with every item that leaked into it, and how."""
+    return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
+
+
+def p6_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per item: in how many documents it leaked, verbatim and edited."""
+    leaks = p6_leaks(spark, sf_dir)
+    return leaks.groupBy("item_id").agg(F.count(F.lit(1)).alias("documents"), F.count_if(F.col("kind") == "verbatim").alias("verbatim"))
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    sized = count_tokens(_read(spark, sf_dir, "documents"), ["doc_id", "source"])
+    return mix_sources(sized.withColumn("weight", length_weight(F.col("tokens"))), _read(spark, sf_dir, "source_targets"), weight_col="weight")
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the mixture with their copies."""
+    return _mix(spark, sf_dir)[0]
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source: wanted and reached tokens and shares."""
+    return _mix(spark, sf_dir)[1]
+
+
 def p8_document_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its scores."""
     return score_documents(_read(spark, sf_dir, "documents"), extra=("source",))
@@ -70,6 +102,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_distinct_facts": p2_distinct_facts,
     "p4_found": p4_found,
     "p4_verdicts": p4_verdicts,
+    "p6_found": p6_found,
+    "p6_leaks": p6_leaks,
+    "p6_leaked_items": p6_leaked_items,
+    "p7_mixture": p7_mixture,
+    "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_document_scores": p8_document_scores,
     "p8_source_rates": p8_source_rates,
