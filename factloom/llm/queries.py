@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from factloom.functions.text import value_key
 from factloom.llm.abuse import flagged, score_documents, source_rates
 from factloom.llm.contamination import find_leaks
+from factloom.llm.entity_linking import link_entities, linked_pairs
 from factloom.llm.fact_history import judge_batches
 from factloom.llm.format_duplicates import format_duplicates, parse_payloads, table_facts
 from factloom.llm.mixing import count_tokens, length_weight, mix_sources
@@ -51,6 +52,15 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_verdicts(spark, sf_dir).filter("verdict <> 'new'")
 
 
+def p5_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the cluster of its entity."""
+    return link_entities(_read(spark, sf_dir, "entities"))
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_pairs(p5_clusters(spark, sf_dir))
+
+
 def p6_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with every item that leaked into it, and how."""
     return find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "eval_items"))
@@ -102,6 +112,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_distinct_facts": p2_distinct_facts,
     "p4_found": p4_found,
     "p4_verdicts": p4_verdicts,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
     "p6_leaked_items": p6_leaked_items,
