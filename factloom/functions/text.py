@@ -14,6 +14,11 @@ def value_key(value: Column) -> Column:
     return F.when(key != "", key)
 
 
+def has_key(value: Column) -> Column:
+    """Whether :func:`value_key` is not null; cheaper than the key, since the first letter or digit decides."""
+    return F.coalesce(value.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+
+
 def humanize(value: Column) -> Column:
     """Underscores become spaces."""
     return F.translate(value, "_", " ")
