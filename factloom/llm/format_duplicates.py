@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from factloom.functions.digest import merkle_digest
 from factloom.functions.skew import hot_keys
-from factloom.functions.text import value_key
+from factloom.functions.text import has_key, value_key
 
 PARTS = ("subject", "predicate", "object")
 _FACT = T.StructType([T.StructField(p, T.StringType()) for p in PARTS])
@@ -63,10 +63,10 @@ def table_facts(df: DataFrame, id_col: str, subject: str, predicate: str, obj: s
 
 def digested(facts: DataFrame) -> DataFrame:
     """(``id``, ``root``, ``leaves``) of the facts that have a key: the root digest and the normalised leaves."""
+    for p in PARTS:
+        facts = facts.filter(has_key(F.col("fact")[p]))
     leaves = F.struct(*[value_key(F.col("fact")[p]).alias(p) for p in PARTS])
     rows = facts.select("id", leaves.alias("leaves"))
-    for p in PARTS:
-        rows = rows.filter(F.col("leaves")[p].isNotNull())
     return rows.select("id", merkle_digest(F.col("leaves"), _FACT).alias("root"), "leaves")
 
 

@@ -45,6 +45,10 @@ NICKNAMES = {
     "sam": "samuel samantha", "sammy": "samuel", "sandy": "alexander alexandra aleksandra", "sasha": "alexander aleksandra", "steve": "stephen steven", "sue": "susan",
     "ted": "edward theodore", "teddy": "theodore edward", "theo": "theodore", "tim": "timothy", "tom": "thomas", "tommy": "thomas", "tony": "anthony", "vic": "victor victoria",
     "vicky": "victoria", "will": "william", "xan": "alexander", "zack": "zachary", "zach": "zachary", "zac": "zachary",
+    "beppe": "giuseppe", "beppo": "giuseppe", "bruni": "brunhilde", "cilla": "priscilla", "dodo": "dorothea", "elli": "eleanor elisabeth", "gabi": "gabriela gabriele", "gigi": "luigi",
+    "hannes": "johannes", "hans": "johannes", "jannis": "johannes yannick", "lilly": "elizabeth lilian", "lola": "dolores", "lupe": "guadalupe", "nacho": "ignacio", "nico": "nicholas",
+    "nora": "eleanor", "ola": "orla", "ollie": "oliver olivia", "paco": "francisco", "pancho": "francisco", "pepe": "jose", "peppe": "giuseppe", "richie": "richard", "sascha": "alexander aleksandra",
+    "tori": "victoria", "ulla": "ursula", "uschi": "ursula", "vasya": "vasily", "wolf": "wolfgang",
 }
 
 _WORD = re.compile(r"[^\W_]+")
