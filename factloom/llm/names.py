@@ -7,8 +7,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 # Common English forms of address, articles, words of legal form, and words for kinds of organisations.
 TITLES = frozenset("dr prof professor rev reverend capt captain mr mrs ms miss sir dame lady lord fr hon col gen lt sgt".split())
@@ -53,18 +52,31 @@ NICKNAMES = {
 
 _WORD = re.compile(r"[^\W_]+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ0-9])(?=[A-ZÀ-ÖØ-Þ])")
+_SEPARATOR = re.compile(r"[\s_\-–/.,]")
+_EDGE = " _-–/.,;!\"'`()[]«»“”\n\t\u00a0"
+_DIGITS = re.compile(r"\d+")
 _ISO = re.compile(r"^(\d{4})[-/.](\d{1,2})[-/.](\d{1,2})$")
 
 
-@dataclass(frozen=True)
 class Value:
-    key: str  # letters and digits, accents removed, titles and articles dropped
-    digits: tuple[str, ...]
-    tokens: tuple[str, ...]
-    comma: int  # number of tokens before the first comma, 0 without one
-    is_org: bool
-    is_name: bool  # two to four words without digits or function words
-    canonical: str  # dates in ISO form, numbers without words around them; else the key
+    """A parsed value.
+
+    ``key``: letters and digits, accents removed, titles and articles dropped; ``comma``: the number of tokens before the first
+    comma, 0 without one; ``canonical``: dates in ISO form, numbers without the words around them, else the key.
+    """
+
+    def __init__(self, key: str, digits: tuple[str, ...], tokens: tuple[str, ...], comma: int, canonical: str):
+        self.key, self.digits, self.tokens, self.comma, self.canonical = key, digits, tokens, comma, canonical
+
+    @cached_property
+    def is_org(self) -> bool:
+        t = self.tokens
+        return len(t) > 1 and (t[-1] in LEGAL_FORMS or t[-1] in ORG_SHORT or any(_org_word(x) for x in t))
+
+    @cached_property
+    def is_name(self) -> bool:
+        """Two to five words without digits or function words."""
+        return not self.digits and 2 <= len(self.tokens) <= 5 and not any(t in FUNCTION_WORDS for t in self.tokens)
 
 
 def fold(text: str) -> str:
@@ -108,7 +120,7 @@ def parse(text: str) -> Value:
     while len(tokens) > 1 and (tokens[0] in TITLES or tokens[0] in ARTICLES):
         tokens.pop(0)
         before = max(0, before - 1)
-    digits = tuple(re.findall(r"\d+", " ".join(tokens)))
+    digits = tuple(_DIGITS.findall(" ".join(tokens)))
     iso = _ISO.match("-".join(tokens)) if len(tokens) == 3 else None
     key = "".join(tokens)
     canonical = key
@@ -119,9 +131,7 @@ def parse(text: str) -> Value:
     elif digits:
         rest = [t for t in tokens if t not in ("year", "years", "c", "ca", "circa", "about", "in", "ad", "ce", "minutes", "min", "mins", "people", "employees")]
         canonical = "".join(rest) or key
-    is_org = len(tokens) > 1 and (tokens[-1] in LEGAL_FORMS or tokens[-1] in ORG_SHORT or any(_org_word(t) for t in tokens))
-    is_name = not digits and 2 <= len(tokens) <= 5 and not any(t in FUNCTION_WORDS for t in tokens)
-    return Value(key, digits, tuple(tokens), before, is_org, is_name, canonical)
+    return Value(key, digits, tuple(tokens), before, canonical)
 
 
 def within_one(a: str, b: str) -> bool:
