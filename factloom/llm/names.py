@@ -251,7 +251,10 @@ def same_value(a: str, b: str, fuzzy: bool = True) -> int:
     Digits never differ: another year or number is another value, however alike the rest is. ``fuzzy`` false allows no slips and
     no initials (for places, whose names differ by single letters), except between organisations.
     """
-    va, vb = parse(a), parse(b)
+    va = parse(a)
+    if a == b:
+        return 2 if va.key else 0
+    vb = parse(b)
     if va.key == vb.key or va.canonical == vb.canonical:
         return 2 if va.key else 0
     if va.digits != vb.digits:
