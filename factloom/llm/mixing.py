@@ -89,6 +89,7 @@ def mix_sources(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(tokens_col).cast("long").alias("tokens"), weight.cast("int").alias("weight")
     ).filter("tokens > 0 and source is not null")
     rows = rows.join(F.broadcast(spark.createDataFrame([(s,) for s in plan], "source string")), "source", "left_semi")
+    rows = spool(rows, "sized")  # read three times below; token counts are made once
     # at most sources x 64 rows reach the driver, whatever the number of documents
     sizes: dict[str, dict[int, int]] = {s: {} for s in plan}
     for source, w, tokens in rows.groupBy("source", "weight").agg(F.sum("tokens")).collect():
