@@ -26,6 +26,28 @@ class ChatModel(Protocol):
     def reply(self, messages: list[dict[str, str]], temperature: float = 0.1, max_tokens: int = 256) -> str: ...
 
 
+class Translator(Protocol):
+    """A model that turns a question into a graph query; :class:`TableTranslator` is the stand-in."""
+
+    def translate(self, question: str) -> str: ...
+
+
+class TableTranslator:
+    """Known questions and their queries, case and end marks ignored; unknown questions raise KeyError."""
+
+    prefix = "translate to a graph query: "
+
+    def __init__(self, pairs: dict[str, str]):
+        self.pairs = {self._key(q): c for q, c in pairs.items()}
+
+    @staticmethod
+    def _key(question: str) -> str:
+        return question.lower().rstrip("?!. ")
+
+    def translate(self, question: str) -> str:
+        return self.pairs[self._key(question.removeprefix(self.prefix))]
+
+
 class HashedEmbedder:
     """Hashed character trigrams and words, L2-normalised: the same text always has the same vector. No claim on quality."""
 

@@ -189,3 +189,9 @@ def augmented(examples: DataFrame) -> DataFrame:
         F.when(F.contains(c, F.lit("RETURN")) & ~q.endswith("?"), pair(F.concat(q, F.lit("?")), c)),
     )
     return rows.select(F.inline(F.array_compact(variants)))
+
+
+def split_examples(examples: DataFrame, held_out: float = 0.1, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """(training, evaluation) by a hash of the question, so a question and its repeats are on one side, whatever the partitions."""
+    place = F.abs(F.xxhash64("question", F.lit(seed)) % 10_000)
+    return examples.filter(place >= int(held_out * 10_000)), examples.filter(place < int(held_out * 10_000))

@@ -6,13 +6,15 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.operators.filters import at_least, in_schema
-from factloom.operators.represent import fact_text, format_results, with_empty_context
+from factloom.operators.dedup import check_duplicates
+from factloom.operators.filters import at_least, complete, in_schema
+from factloom.operators.represent import PARTS, entity_context, fact_text, format_results, with_empty_context
 from factloom.operators.stats import relation_relevance
 from factloom.operators.vector import top_k
 from factloom.plans import prompts
 from factloom.plans.models import QUERY_INSTRUCTION, ChatModel, Embedder, embed_column
 from factloom.sources.files import facts_in_text
+from factloom.sources.store import FactStore
 
 Fact = tuple[str, str, str]
 
@@ -40,6 +42,37 @@ def retrieve(questions: DataFrame, index: DataFrame, embedder: Embedder, k: int
     return hits.join(index.select("row_id", "subject", "predicate", "object"), "row_id")
 
 
+def build_entity_index(facts: DataFrame, embedder: Embedder, order: str = "row_id") -> DataFrame:
+    """One searchable row per entity: its context, embedding and facts as structs, so that nothing is parsed from text later."""
+    context = entity_context(facts, order).select("entity", "text")
+    held = facts.filter("subject is not null").groupBy(F.col("subject").alias("entity")).agg(F.array_sort(F.collect_list(F.struct(order, "subject", "predicate", "object"))).alias("facts"))
+    return embed_column(context.join(held, "entity"), embedder)
+
+
+def retrieve_entities(questions: DataFrame, index: DataFrame, embedder: Embedder, k: int = 5, min_score: float = 0.0) -> DataFrame:
+    """(``query_id``, parts, ``score``, ``rank``, ``nth``): all facts of the best entities, each with its entity's score."""
+    asked = embed_column(questions, embedder, "query", instruction=QUERY_INSTRUCTION)
+    hits = at_least(top_k(asked.select("query_id", "embedding"), index, k, item_id="entity"), min_score)
+    rows = hits.join(index.select("entity", "facts"), "entity").select("query_id", "score", "rank", F.posexplode("facts").alias("nth", "f"))
+    return rows.select("query_id", "f.subject", "f.predicate", "f.object", "score", "rank", "nth")
+
+
+def add_new_facts(store: FactStore, proposals: DataFrame, embedder: Embedder, threshold: float = 0.95, source: str = "llm_expanded") -> int:
+    """Store the proposals (with ``row_id``) that are neither exact nor semantic duplicates of stored facts; returns their number.
+
+    Stored facts without a vector are embedded for the comparison. The batch's own earlier facts count for exact duplicates only.
+    """
+    held = embed_column(fact_text(complete(store.read().select("row_id", *PARTS))), embedder)
+    fresh = embed_column(fact_text(proposals.select("row_id", *PARTS)), embedder)
+    best = top_k(fresh.select("row_id", "embedding"), held.select(F.col("row_id").alias("vec_id"), "embedding"), 1, query_id="row_id").select("row_id", F.col("score").alias("similarity"))
+    new = check_duplicates(proposals.select("row_id", *PARTS), held, similar=best, threshold=threshold).filter("status = 'new'")
+    rows = fresh.join(new.select("row_id"), "row_id").select("row_id", *PARTS, "document", "embedding").withColumn("source", F.lit(source))
+    count = rows.count()
+    if count:
+        store.upsert(rows)
+    return count
+
+
 def contexts(questions: DataFrame, hits: DataFrame, style: str = "list") -> DataFrame:
     """(``query_id``, ``context``) of every question, the fixed sentence where nothing was found."""
     return with_empty_context(questions, format_results(hits, style))

@@ -150,3 +150,27 @@ def test_generator(spark, tmp_path):
     assert out.answer == "fine" and out.expanded == [("Ann", "knows", "Bo_B")] and out.persisted == 1 and len(out.scores) == 3
     with pytest.raises(ValueError):
         retrieval.build_index(index.limit(0), HashedEmbedder(8))
+
+
+def test_new_facts_are_stored_once(spark, tmp_path):
+    box = store(spark, tmp_path)
+    rows = spark.createDataFrame([(10, "Ann", "lives in", "Rome"), (11, "Cy", "lives_in", "Ulm"), (12, "cy", "lives in", "ulm"), (13, "Bo", "lives-in", "Oslo")], "row_id long, subject string, predicate string, object string")
+    assert retrieval.add_new_facts(box, rows, HashedEmbedder(256), threshold=0.6) == 1
+    assert box.size() == 4 and retrieval.add_new_facts(box, rows, HashedEmbedder(256), threshold=0.6) == 0
+
+
+def test_entities_are_retrieved_with_all_facts(spark):
+    facts = spark.createDataFrame([(0, "Ann", "lives_in", "Rome, Italy"), (1, "Ann", "knows", "Bo"), (2, "Zed", "is", "far")], "row_id long, subject string, predicate string, object string")
+    index = retrieval.build_entity_index(facts, HashedEmbedder(64))
+    asked = spark.createDataFrame([("q", "Ann: lives in: Rome")], "query_id string, query string")
+    got = retrieval.retrieve_entities(asked, index, HashedEmbedder(64), 1).orderBy("nth").collect()
+    assert [(r.subject, r.predicate, r.object) for r in got] == [("Ann", "lives_in", "Rome, Italy"), ("Ann", "knows", "Bo")] and len({r.score for r in got}) == 1
+
+
+def test_translator_and_split(spark):
+    from factloom.plans.models import TableTranslator
+
+    assert TableTranslator({"Who?": "MATCH"}).translate("translate to a graph query: who") == "MATCH"
+    df = spark.createDataFrame([(f"q{k}",) for k in range(500)] * 2, "question string")
+    train, held = questions.split_examples(df)
+    assert train.count() + held.count() == 1000 and 50 < held.count() < 160 and train.join(held, "question").count() == 0
