@@ -209,6 +209,8 @@ def same_person(a: Value, b: Value) -> int:
 
 def is_abbreviation(short: str, full: str) -> bool:
     """A shortened word: the same first letter, and all its letters in order in a clearly longer word."""
+    if len(short) >= 3 and len(short) < len(full) and full.startswith(short):
+        return True
     if len(short) >= len(full) - 1 or len(short) < 2 or len(full) < 5 or short[0] != full[0]:
         return False
     rest = iter(full)
