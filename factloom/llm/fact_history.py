@@ -1,8 +1,8 @@
-"""New batches of facts against all history, by content-defined chunks (problem 4).
+"""New batches of facts against all history, by pieces that spellings of one value share (problem 4).
 
-Every fact is cut into chunks where a rolling hash of its text says so, so a local change of spelling moves few chunks. A
-persistent table holds the chunk hashes of each accepted fact beside the record itself; a batch is chunked once, meets that table
-through shared chunks only, and its chunks are appended. Nothing of the history is chunked or compared again.
+Every value is cut into pieces such that two values which the exact comparison accepts always share one (see :func:`pieces`); a table
+holds the pieces of each fact beside the record itself. A batch is cut once and meets that table through a shared piece of the subject
+and one of the object; all that meet are compared exactly. Nothing is left out by sketch, coverage or rarity.
 """
 
 from __future__ import annotations
@@ -16,21 +16,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from factloom.functions.text import has_key, value_key
-from factloom.llm.names import FUNCTION_WORDS, fold, parse, same_value, within_one
+from factloom.llm.names import FUNCTION_WORDS, LEGAL_FORMS, ORG_WORDS, fold, orders, parse, same_value, within_one
 from factloom.session import spool
 
 #: Shortest and longest chunk in letters, and one in how many places the rolling hash makes a boundary.
 MIN_CHUNK, MAX_CHUNK, ONE_IN = 3, 8, 3
 #: Letters the rolling hash looks at.
 WINDOW = 2
-#: Chunks of subject and object that lead to candidates: the rarest ones.
-RARE_SUBJECT, RARE_OBJECT = 4, 3
-#: Slots of the table of chunk frequencies and bits of the batch's filter; both are broadcast, so both are fixed in size.
-SLOTS, FILTER_BITS = 1 << 18, 1 << 25
-#: Least share of the shorter side's bytes that two spellings must have in common before they are compared.
-COVERAGE = 0.3
-#: Least share of the sketch bits of the side with fewer that candidates share. A slip changes two letter pairs of fifteen or more.
-SKETCH_SHARE = 0.66
+#: Bits of the batch's filters; they are broadcast, so fixed in size.
+FILTER_BITS = 1 << 26
+#: A block of a filter has two to the power of this many words of 64 bits.
+FILTER_BLOCK = 15
 #: The relation schema is broadcast; more relations than this are refused.
 MAX_RELATIONS = 50_000
 
@@ -225,16 +221,76 @@ def distinct_facts(rows: DataFrame) -> DataFrame:
     return grouped.select("fact", "parts.*", "born", "is_new")
 
 
+@lru_cache(maxsize=500_000)
+def _slip_pieces(word: str) -> tuple[str, ...]:
+    """Pieces of which two words at most one slip apart (:func:`within_one`) always share one.
+
+    Up to eight letters the word and, of five or more, the word less one letter (a word of four meets one of five only); from eight on the halves before and after the middle, of which one
+    slip, an exchange of neighbours included, leaves one as it is. As lengths may differ by one, halves are cut for the word's length
+    and for one letter less.
+    """
+    n = len(word)
+    out = [word] if n <= 8 else []
+    if 5 <= n <= 8:
+        out += [word[:i] + word[i + 1 :] for i in range(n)]
+    for least in (n - 1, n):
+        if least >= 8:
+            half = (least - 1) // 2
+            out += ["<" + word[:half], word[n - half :] + ">"]
+    return tuple(dict.fromkeys(out))
+
+
+#: Codes of a piece: pieces of code 2 meet their like; pieces of code 0 meet those of code 1 only.
+_RIGHT, _LEFT, _BOTH = 0, 1, 2
+
+
+@lru_cache(maxsize=500_000)
+def _word_pieces(word: str, code: int = _BOTH) -> tuple[int, ...]:
+    return tuple(xxhash.xxh32_intdigest(p.encode()) * 4 + code for p in _slip_pieces(word))
+
+
+@lru_cache(maxsize=200_000)
+def _kind_pieces(word: str) -> tuple[int, ...]:
+    """Pieces for a slip in a word for a kind of organisation: the right words and their slips meet each other only."""
+    if word in ORG_WORDS:
+        return (xxhash.xxh32_intdigest(b"kind " + word.encode()) * 4 + _RIGHT,)
+    return tuple(xxhash.xxh32_intdigest(b"kind " + w.encode()) * 4 + _LEFT for w in ORG_WORDS if within_one(w, word))
+
+
 @lru_cache(maxsize=300_000)
-def _hashes(text: str) -> list[int]:
-    return [h for h, _ in chunks(text)]
+def pieces(text: str) -> list[int]:
+    """Hashes of pieces of a value such that any two values that :func:`same_value` accepts share one (see :func:`_turned`).
+
+    The whole value pays for equal keys, dates, numbers and for one slip in all; the words pay for the anchor of an organisation
+    and for the surname of a person, whatever the given names, initials and further words are. Other words of a value that is no
+    organisation meet words of organisations only.
+    """
+    value = parse(text)
+    if not value.key:
+        return []
+    out = {*_word_pieces(value.key), *_word_pieces(value.canonical)}
+    if not value.digits:
+        surnames = {s for s, _ in orders(value)} if value.is_name and not value.is_org else set()
+        for surname in surnames:
+            out.update(_word_pieces(surname))
+        for word in set(value.tokens):
+            if len(word) >= 4 and word not in FUNCTION_WORDS and word not in LEGAL_FORMS:
+                out.update(_kind_pieces(word))
+                if word in ORG_WORDS:
+                    continue
+                if value.is_org:
+                    out.update(_word_pieces(word))
+                    out.update(_word_pieces(word, _RIGHT))
+                elif word not in surnames:
+                    out.update(_word_pieces(word, _LEFT))
+    return list(out)
 
 
 def chunk_table(facts: DataFrame, predicates: Predicates) -> DataFrame:
-    """The chunk-to-record table: the chunk hashes of subject and object beside each distinct fact."""
+    """The piece-to-record table: the piece hashes of subject and object beside each distinct fact."""
 
     def lists(texts: list[str]) -> pa.ListArray:
-        hashes = [_hashes(t) for t in texts]
+        hashes = [pieces(t) for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
         return pa.ListArray.from_arrays(offsets, pa.array([x for h in hashes for x in h], type=pa.int64()))
 
@@ -247,42 +303,40 @@ def chunk_table(facts: DataFrame, predicates: Predicates) -> DataFrame:
     return facts.select("fact", "subject", "predicate", "object", "born", "is_new").mapInArrow(cut, _CHUNKED)
 
 
-def chunk_counts(table: DataFrame) -> np.ndarray:
-    """How many facts hold a chunk, in a fixed number of slots: exact counts of hashed slots over the whole table."""
-    slots = table.select(F.explode(F.concat("s_chunks", "o_chunks")).alias("h")).groupBy((F.col("h") % SLOTS).alias("slot")).count()
-    out = np.zeros(SLOTS, dtype=np.int64)
-    rows = slots.toPandas()
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy()
-    return out
+def _turned(hashes: np.ndarray) -> np.ndarray:
+    """The pieces of the asking side: kind words ask for slips of them and slips for kind words; all else asks for itself."""
+    return np.where(hashes & 2 == 0, hashes ^ 1, hashes)
 
 
-def _rarest(hashes: pa.ListArray, counts: np.ndarray, most: int) -> np.ndarray:
-    """Per row its ``most`` rarest chunks, rarest first; -1 where there are fewer."""
-    offsets, values = hashes.offsets.to_numpy(), hashes.values.to_numpy()
-    values = values[offsets[0] : offsets[-1]]
-    lengths = np.diff(offsets)
-    row = np.repeat(np.arange(len(lengths)), lengths)
-    order = np.lexsort((values, counts[values % SLOTS], row))
-    row, values = row[order], values[order]
-    rank = np.arange(len(row)) - np.repeat(np.concatenate([[0], np.cumsum(lengths)[:-1]]), lengths)
-    out = np.full((len(lengths), most), -1, dtype=np.int64)
-    kept = rank < most
-    out[row[kept], rank[kept]] = values[kept]
-    return out
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = (a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return (x ^ (x >> np.uint64(32))).view(np.int64)
+
+
+def _side(part: pa.RecordBatch, name: str, salt: int, asking: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(key within the class of predicates, row) of every piece of one side."""
+    lists = part.column(name)
+    offsets = lists.offsets.to_numpy()
+    rows = np.repeat(np.arange(part.num_rows), np.diff(offsets))
+    hashes = lists.values.to_numpy()[offsets[0] : offsets[-1]]
+    classes = part.column("cls").to_numpy() ^ np.int64(salt)
+    return _mixed(classes[rows], _turned(hashes) if asking else hashes), rows
+
+
+def _passed(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    place = keys & (FILTER_BITS - 1)
+    return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def _pair_keys(classes: np.ndarray, subjects: np.ndarray, objects: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of every pair of a subject's and an object's chunk within the class of predicates."""
-    keys, rows = [], []
-    for i in range(subjects.shape[1]):
-        for j in range(objects.shape[1]):
-            at = np.flatnonzero((subjects[:, i] >= 0) & (objects[:, j] >= 0))
-            x = subjects[at, i].astype(np.uint64) << np.uint64(32) | objects[at, j].astype(np.uint64)
-            x = (x ^ classes[at]) * np.uint64(0x9E3779B97F4A7C15)
-            x = (x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-            keys.append((x ^ (x >> np.uint64(32))).view(np.int64))
-            rows.append(at)
-    return np.concatenate(keys), np.concatenate(rows)
+def _crossed(s_keys: np.ndarray, s_rows: np.ndarray, o_keys: np.ndarray, o_rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) of every pair of a key of the subject and one of the object of a row; rows ascend in both."""
+    each = np.bincount(o_rows, minlength=n)
+    first = np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64)
+    times = each[s_rows]
+    ends = np.cumsum(times)
+    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times, times) + np.repeat(first[s_rows], times)
+    return _mixed(np.repeat(s_keys, times), o_keys[at]), np.repeat(s_rows, times)
 
 
 @lru_cache(maxsize=300_000)
@@ -298,73 +352,94 @@ def sketch(text: str) -> int:
     return bits - (1 << 64) if bits >> 63 else bits
 
 
-_POSTING = "pair long, fact long, s_sketch long, o_sketch long"
+_POSTING = "pair long, fact long"
 
 
-def _postings(counts, both_ways=None, bits=None):
-    """Postings (chunk pair, fact, sketches) of a chunk table; with ``bits`` only those that the batch's filter lets through."""
+def _ways(batch: pa.RecordBatch, both_ways) -> Iterator[tuple[pa.RecordBatch, str, str]]:
+    yield batch, "s_chunks", "o_chunks"
+    if both_ways:
+        turned = np.flatnonzero(np.isin(batch.column("cls").to_numpy(), list(both_ways)))
+        if len(turned):
+            yield batch.take(pa.array(turned)), "o_chunks", "s_chunks"
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        for start in range(0, b.num_rows, 2_000):
+            yield b.slice(start, 2_000)
+
+
+def _asked_sides(both_ways):
+    """Keys of the pieces of subject and object of the asking facts, each for itself."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            of_class = b.column("cls").to_numpy().view(np.uint64)
-            ways = [("s_chunks", "o_chunks", np.arange(b.num_rows), False)]
-            if both_ways is not None:
-                turned = np.isin(b.column("cls").to_numpy(), list(both_ways))
-                ways.append(("o_chunks", "s_chunks", np.flatnonzero(turned), True))
-            for s_name, o_name, rows, swapped in ways:
-                if not len(rows):
-                    continue
-                part = b.take(pa.array(rows))
-                keys, at = _pair_keys(of_class[rows], _rarest(part.column(s_name), counts.value, RARE_SUBJECT), _rarest(part.column(o_name), counts.value, RARE_OBJECT))
-                if bits is not None:
-                    place = keys & (FILTER_BITS - 1)
-                    kept = (bits.value[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-                    keys, at = keys[kept], at[kept]
-                used, back = np.unique(at, return_inverse=True)
-                texts = part.take(pa.array(used))
-                s_bits = np.array([sketch(t) for t in texts.column("subject").to_pylist()], dtype=np.int64)
-                o_bits = np.array([sketch(t) for t in texts.column("object").to_pylist()], dtype=np.int64)
-                if swapped:
-                    s_bits, o_bits = o_bits, s_bits
-                facts = part.column("fact").to_numpy()[at]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(facts), pa.array(s_bits[back]), pa.array(o_bits[back])], names=["pair", "fact", "s_sketch", "o_sketch"])
+        for b in _slices(batches):
+            for part, s_name, o_name in _ways(b, both_ways):
+                keys = [_side(part, name, salt, True)[0] for salt, name in enumerate((s_name, o_name))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], names=["pair"])
 
     return emit
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """Whether two sketches share enough bits of the one with fewer."""
-    return F.bit_count(a.bitwiseAND(b)) >= F.least(F.bit_count(a), F.bit_count(b)) * F.lit(SKETCH_SHARE)
+def _postings(asking: bool, both_ways=None, sides=None, bits=None):
+    """Postings (pair of pieces, fact) of a table; ``sides`` and ``bits`` are the asking facts' keys of one side and of pairs, and what they lack is left out."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _slices(batches):
+            for part, s_name, o_name in _ways(b, both_ways):
+                (s_keys, s_rows), (o_keys, o_rows) = _side(part, s_name, 0, asking), _side(part, o_name, 1, asking)
+                if sides is not None:
+                    kept = _passed(s_keys, sides.value)
+                    s_keys, s_rows = s_keys[kept], s_rows[kept]
+                    kept = _passed(o_keys, sides.value)
+                    o_keys, o_rows = o_keys[kept], o_rows[kept]
+                keys, at = _crossed(s_keys, s_rows, o_keys, o_rows, part.num_rows)
+                if bits is not None:
+                    kept = _passed(keys, bits.value)
+                    keys, at = keys[kept], at[kept]
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part.column("fact").to_numpy()[at])], names=["pair", "fact"])
+
+    return emit
 
 
 def _filter_of(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of the batch's chunk pairs, OR-ed together per 64-bit word before anything reaches the driver (4 MB at most)."""
+    """A bitmap of the batch's keys, OR-ed together per 64-bit word and put together in blocks before it reaches the driver (8 MB at most)."""
     at = F.col("pair").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = pairs.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("place"))
-    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits")).toPandas()
+    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits")).repartition(8, F.shiftright("word", FILTER_BLOCK))
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[int, np.ndarray] = {}
+        for b in batches:
+            word, bits = b.column("word").to_numpy(), b.column("bits").to_numpy().view(np.uint64)
+            of_block = word >> FILTER_BLOCK
+            for block in np.unique(of_block).tolist():
+                mine = of_block == block
+                blocks.setdefault(block, np.zeros(1 << FILTER_BLOCK, dtype=np.uint64))[word[mine] & ((1 << FILTER_BLOCK) - 1)] = bits[mine]
+        for block, bits in blocks.items():
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
+
     out = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
-    out[words["word"].to_numpy(dtype=np.int64)] = words["bits"].to_numpy(dtype=np.int64).view(np.uint64)
+    for row in words.mapInArrow(dense, "block long, bits binary").toLocalIterator():
+        out[row["block"] << FILTER_BLOCK : (row["block"] + 1) << FILTER_BLOCK] = np.frombuffer(row["bits"], dtype=np.uint64)
     return out
 
 
-def near_facts(table: DataFrame, predicates: Predicates, coverage_least: float = COVERAGE) -> DataFrame:
-    """(``fact``, ``near_born``): for each new fact of a chunk table the first arrival of a differing fact that says the same.
+def near_facts(table: DataFrame, predicates: Predicates) -> DataFrame:
+    """(``fact``, ``near_born``): for each new fact of a piece table the first arrival of a differing fact that says the same.
 
-    Candidates share a pair of chunks, one of the subject and one of the object, within a class of predicates; of each side the
-    rarest chunks lead to pairs. Facts without such a pair in the batch are left out by a bitmap before the shuffle. Of the pairs
-    that meet, those whose sketches of letter pairs differ too much fall out where they meet; candidates whose shared chunks cover less than ``coverage_least`` of the shorter spelling's bytes, in subject or object, fall out; the
-    rest is compared exactly.
+    Candidates share a piece of the subject and a piece of the object within a class of predicates; every pair of values that
+    :func:`same_value` accepts does. Bitmaps of the batch's pieces and of their pairs leave out, before the shuffle, only facts that no
+    new fact could meet. All that meet are compared exactly.
     """
     spark = table.sparkSession
-    counts = spark.sparkContext.broadcast(chunk_counts(table))
-    columns = ["fact", "cls", "subject", "object", "s_chunks", "o_chunks"]
-    asked = spool(table.filter("is_new").select(*columns).mapInArrow(_postings(counts, predicates.symmetric), _POSTING), "asked")
+    columns = ["fact", "cls", "s_chunks", "o_chunks"]
+    fresh = table.filter("is_new").select(*columns)
+    sides = spark.sparkContext.broadcast(_filter_of(fresh.mapInArrow(_asked_sides(predicates.symmetric), "pair long")))
+    asked = spool(fresh.mapInArrow(_postings(True, predicates.symmetric), _POSTING), "asked")
     bits = spark.sparkContext.broadcast(_filter_of(asked))
-    held = table.select(*columns).mapInArrow(_postings(counts, None, bits), _POSTING)
-    held = held.select("pair", F.col("fact").alias("other"), F.col("s_sketch").alias("s2"), F.col("o_sketch").alias("o2"))
-    met = asked.join(held, "pair").filter((F.col("fact") != F.col("other")) & _alike(F.col("s_sketch"), F.col("s2")) & _alike(F.col("o_sketch"), F.col("o2")))
+    held = table.select(*columns).mapInArrow(_postings(False, None, sides, bits), _POSTING)
+    met = asked.join(held.withColumnRenamed("fact", "other"), "pair").filter(F.col("fact") != F.col("other"))
     candidates = met.select("fact", "other").distinct()
     new = table.filter("is_new").select("fact", "cls", "subject", "object")
     other = table.select(F.col("fact").alias("other"), F.col("subject").alias("subject2"), F.col("object").alias("object2"), F.col("born").alias("near_born"))
@@ -373,24 +448,17 @@ def near_facts(table: DataFrame, predicates: Predicates, coverage_least: float =
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ("cls", "subject", "object", "subject2", "object2")
         for b in batches:
-            kept = [_same_fact(*row, predicates, coverage_least) for row in zip(*(b.column(n).to_pylist() for n in names))]
+            kept = [_same_fact(*row, predicates) for row in zip(*(b.column(n).to_pylist() for n in names))]
             yield b.select(["fact", "near_born"]).filter(pa.array(kept, type=pa.bool_()))
 
     found = pairs.select("fact", "near_born", "cls", "subject", "object", "subject2", "object2").mapInArrow(confirm, "fact long, near_born long")
     return found.groupBy("fact").agg(F.min("near_born").alias("near_born"))
 
 
-def _same_fact(cls: int, s1: str, o1: str, s2: str, o2: str, predicates: Predicates, least: float) -> bool:
-    fuzzy_object = cls not in predicates.places
-    if _covered(s1, s2, least) and _covered(o1, o2, least) and same_value(s1, s2) and same_value(o1, o2, fuzzy_object):
+def _same_fact(cls: int, s1: str, o1: str, s2: str, o2: str, predicates: Predicates) -> bool:
+    if same_value(s1, s2) and same_value(o1, o2, cls not in predicates.places):
         return True
-    if cls in predicates.symmetric:
-        return _covered(s1, o2, least) and _covered(o1, s2, least) and bool(same_value(s1, o2)) and bool(same_value(o1, s2))
-    return False
-
-
-def _covered(a: str, b: str, least: float) -> bool:
-    return a == b or coverage(a, b) >= least
+    return cls in predicates.symmetric and bool(same_value(s1, o2)) and bool(same_value(o1, s2))
 
 
 def verdicts(new: DataFrame, id_col: str, table: DataFrame, predicates: Predicates) -> DataFrame:

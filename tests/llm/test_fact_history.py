@@ -72,3 +72,15 @@ def test_names():
     assert all(same_value(a, b) and same_value(b, a) for a, b in same)
     assert not any(same_value(a, b) for a, b in other)
     assert within_one("ab", "ba") and within_one("abc", "ac") and not within_one("abcd", "badc")
+
+
+def test_short_names_and_slips_without_shared_chunk(spark):
+    pairs = [
+        ("Peggy Stone", "Margaret Stone"), ("Jack Ford", "John Ford"), ("J. K. Orr", "John Kevin Orr"), ("Bob Wu", "Robert Wu"), ("Apollo 11 Mission", "Apollo 11 Misison"),
+        ("Trhiller", "Thriller"), ("Universty of Bath", "Bath University"), ("Acme Holdings Bank", "Bank Acme Holdnigs"),
+    ]
+    assert all(same_value(b, a) for a, b in pairs)
+    history = spark.createDataFrame([(i, a, "starred_in", b, "x") for i, (a, b) in enumerate((a, x) for a, _ in pairs for x, _ in pairs)], "triplet_id long, subject string, predicate string, obj string, fact string")
+    proposed = spark.createDataFrame([(i, 1, a, "starred_in", b) for i, (a, b) in enumerate((b, y) for _, b in pairs for _, y in pairs)], "proposal_id long, batch_no long, subject string, predicate string, obj string")
+    got = verdicts(judge_batches(history, proposed, spark.createDataFrame([], "relation string, description string")))
+    assert got == {i: "near" for i in range(len(pairs) ** 2)}
