@@ -1,7 +1,10 @@
+import random
+
+import numpy as np
 from pyspark.sql import functions as F
 
-from factloom.llm.fact_history import FactHistory, Predicates, chunks, coverage, judge_batches, keyed_facts, sketch
-from factloom.llm.names import same_value, within_one
+from factloom.llm.fact_history import FactHistory, Predicates, _turned, chunks, coverage, judge_batches, keyed_facts, pieces, sketch
+from factloom.llm.names import NICKNAMES, same_value, within_one
 
 RELATIONS = [("born_in", "place of birth"), ("birthPlace", "place of birth, see notes"), ("works_for", "employer of a person"), ("employed_by", "employer of a person"), ("employerOf", None), ("spouse", "wife or husband"), ("student_of", "teacher of a person"), ("founded", "organisation a person set up"), ("founderOf", None), ("year_of_birth", "birth year"), (None, "x")]
 HISTORY = [
@@ -84,3 +87,19 @@ def test_short_names_and_slips_without_shared_chunk(spark):
     proposed = spark.createDataFrame([(i, 1, a, "starred_in", b) for i, (a, b) in enumerate((b, y) for _, b in pairs for _, y in pairs)], "proposal_id long, batch_no long, subject string, predicate string, obj string")
     got = verdicts(judge_batches(history, proposed, spark.createDataFrame([], "relation string, description string")))
     assert got == {i: "near" for i in range(len(pairs) ** 2)}
+
+
+def test_pieces_miss_nothing_that_comparison_accepts():
+    rng = random.Random(5)
+    firsts = [*rng.sample(sorted(NICKNAMES), 25), "Margaret", "John", "Jon", "J.", "M.", "JK", "Robert", "R."]
+    lasts = ["Orr", "Ford", "Stone", "Stnoe", "Smiths", "Smithson", "Smithsen", "Vimajucmur", "Vimajcumur", "Bank", "Acme"]
+    kinds = ["University", "Universty", "Univ", "Trust", "Tr", "Ltd", "of Bath", "1969", "1970", ""]
+    values = [v for v in {" ".join(x for x in rng.choice([(f, l), (l + ",", f), (l, k), (f, l, k), (l, f, k)]) if x) for f in firsts for l in lasts for k in kinds}]
+    for v in rng.sample(values, 250):
+        i = rng.randrange(len(v))
+        values += [v[:i] + v[i + 1 :], v[:i] + "x" + v[i:], v[:i] + v[i + 1 : i + 2] + v[i : i + 1] + v[i + 2 :]]
+    values = rng.sample(values, 900)
+    asked = [set(_turned(np.array(pieces(v), dtype=np.int64)).tolist()) for v in values]
+    held = [set(pieces(v)) for v in values]
+    missed = [(values[i], values[j]) for i in range(len(values)) for j in range(len(values)) if i != j and asked[i].isdisjoint(held[j]) and same_value(values[i], values[j])]
+    assert not missed
