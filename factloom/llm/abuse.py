@@ -303,7 +303,9 @@ _TRANSDUCERS = {c: Transducer(t) for c, t in PATTERNS.items()}
 _PATTERN_WORDS = {w for t in _TRANSDUCERS.values() for ps in t.by_first.values() for p in ps for _, step in p.steps for w in step if w.islower()}
 _KNOWN = set(_WORD_SYMBOLS) | _PATTERN_WORDS
 
-#: Words that alone show a clause may be a case; clauses without any, plain or disguised, are not parsed.
+#: Words and symbols that can begin a pattern; clauses without any, plain or disguised, have no weight and are not parsed.
+_FIRSTS = frozenset(symbol for t in _TRANSDUCERS.values() for symbol in t.by_first)
+#: Words near which reported speech and sober contexts count.
 _HEAVY = frozenset(w for w, s in _WORD_SYMBOLS.items() if s & {"INSULT", "HARM", "PUNISHED", "DIE", "GROUP", "VERMIN", "NUDE", "SEXPART", "SEXACT", "FUCK", "SEXWORD"}) | frozenset(
     "yourself regret crawl jump watch back fresse gueule live home doorknob tear locked shut verpiss callate mierda ferme halt penetration rode straddled touching myself breeding mouth inside legs swallowed "
     "third limits undressed down skin hard say face dead brain waste piece rope boats rocked schlage vete va ersaufen noyer climbed unhooked horny ashamed laugh town trust rent hire".split()
@@ -353,11 +355,11 @@ def clause_weights(clause: str, before: frozenset[str] = frozenset()) -> dict[st
     """Weight of a clause in every category; ``before`` holds the symbols of the clause ahead, for a group named there."""
     tokens = _TOKEN.findall(clause)
     lattice = [_readings(t) for t in tokens]
-    if not any(not r.isdisjoint(_HEAVY) for r in lattice):
+    if all(r.isdisjoint(_FIRSTS) for r in lattice):
         return {}
     symbols = frozenset().union(*lattice)
     # reported speech, quotation and sober contexts take weight back
-    heavy = [i for i, r in enumerate(lattice) if not r.isdisjoint(_HEAVY)]
+    heavy = [i for i, r in enumerate(lattice) if not r.isdisjoint(_HEAVY)] or [i for i, r in enumerate(lattice) if not r.isdisjoint(_FIRSTS)]
     near = lambda symbol: any(symbol in r and any(abs(i - h) <= CONTEXT for h in heavy) for i, r in enumerate(lattice))
     discount = 2.0 * ("YOU" not in symbols and near("SPEAKS"))
     out = {}

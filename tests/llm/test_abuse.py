@@ -1,6 +1,6 @@
 import pytest
 
-from factloom.llm.abuse import THRESHOLD, flagged, score_documents, source_rates, text_weights
+from factloom.llm.abuse import _TRANSDUCERS, THRESHOLD, WORDS, clause_weights, flagged, score_documents, source_rates, text_weights
 
 CASES = {
     "abusive": [
@@ -36,3 +36,24 @@ def test_table(spark):
     rates = {r.source: (r.documents, r.flagged, r.sexual_rate) for r in source_rates(scores).collect()}
     assert rates == {"s": (4, 2, 0.5), None: (1, 0, 0.0)}
     assert flagged(score_documents(df.limit(0))).count() == 0
+
+
+def test_each_full_weight_pattern_fires_alone():
+    silent = []
+    for category, transducer in _TRANSDUCERS.items():
+        for pattern in {id(p): p for ps in transducer.by_first.values() for p in ps}.values():
+            if pattern.weight >= 2:
+                words = [min(wanted) if min(wanted).islower() else WORDS[min(wanted)].split()[0] for _, wanted in pattern.steps]
+                clause = " ".join(words) + (" they" if category == "hateful" else "")
+                if clause_weights(clause, frozenset({"GROUP"})).get(category, 0.0) < THRESHOLD:
+                    silent.append((category, clause))
+    assert not silent
+
+
+def test_clauses_without_heavy_words():
+    for text in ("I know where you sleep.", "We will find you.", "we will make you suffer", "Go to hell.", "rot in hell", "Screw you!", "You are finished."):
+        assert text_weights(text).get("abusive", 0.0) >= THRESHOLD, text
+    for text in ("Look at the foreigners here. They should be deported.", "Those foreigners again. They should be gassed."):
+        assert text_weights(text).get("hateful", 0.0) >= THRESHOLD, text
+    for text in ("The judge quoted the shout: go to hell.", "I know the way home.", "You are early."):
+        assert max(text_weights(text).values(), default=0.0) < THRESHOLD, text
