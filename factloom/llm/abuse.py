@@ -354,7 +354,10 @@ def clauses(text: str) -> Iterator[str]:
 def clause_weights(clause: str, before: frozenset[str] = frozenset()) -> dict[str, float]:
     """Weight of a clause in every category; ``before`` holds the symbols of the clause ahead, for a group named there."""
     tokens = _TOKEN.findall(clause)
-    lattice = [_readings(t) for t in tokens]
+    return _weights(tokens, [_readings(t) for t in tokens], before)
+
+
+def _weights(tokens: list[str], lattice: list[frozenset[str]], before: frozenset[str]) -> dict[str, float]:
     if all(r.isdisjoint(_FIRSTS) for r in lattice):
         return {}
     symbols = frozenset().union(*lattice)
@@ -406,10 +409,12 @@ def text_weights(text: str | None) -> dict[str, float]:
     best: dict[str, float] = {}
     before: frozenset[str] = frozenset()
     for clause in clauses(text or ""):
-        for category, weight in clause_weights(clause, before).items():
+        tokens = _TOKEN.findall(clause)
+        lattice = [_readings(t) for t in tokens]
+        for category, weight in _weights(tokens, lattice, before).items():
             if weight > best.get(category, 0.0):
                 best[category] = weight
-        before = frozenset().union(*(_readings(t) for t in _TOKEN.findall(clause))) if len(clause) < 200 else frozenset()
+        before = frozenset().union(*lattice)
     return best
 
 

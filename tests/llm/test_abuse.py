@@ -57,3 +57,9 @@ def test_clauses_without_heavy_words():
         assert text_weights(text).get("hateful", 0.0) >= THRESHOLD, text
     for text in ("The judge quoted the shout: go to hell.", "I know the way home.", "You are early."):
         assert max(text_weights(text).values(), default=0.0) < THRESHOLD, text
+
+
+def test_group_carries_from_a_long_clause():
+    filler = "who had walked along the river past the mill and the old bakery " * 5
+    for words in ("", filler, filler * 10):
+        assert text_weights(f"We saw the immigrants {words}yesterday. They are all vermin.").get("hateful", 0.0) >= THRESHOLD
