@@ -13,24 +13,19 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.text import value_key
+from factloom.llm.fact_history import slip_pieces
 from factloom.llm.names import FUNCTION_WORDS, LEGAL_FORMS, NICKNAMES, ORG_WORDS, given_match, orders, parse, same_org, same_person
 from factloom.session import spool
 
-#: A word in more than so many spellings leads to no block by itself, only together with another whole word.
-COMMON = 200
-#: Slots of the word counts that are broadcast; fixed, whatever the number of words.
-SLOTS = 1 << 18
+#: A block of more records than this is compared in so many parts, by more than one task.
+HOT = 1000
 #: Rounds of merging after which the operator gives up with an error; each round merges at least one pair, usually most.
 MAX_ROUNDS = 50
 
 
-def _slot(word: str) -> int:
-    return xxhash.xxh32_intdigest(word.encode()) % SLOTS
-
-
 @lru_cache(maxsize=100_000)
 def _slips(word: str) -> tuple[str, ...]:
     """The word and the word less one letter: two words one slip apart have one of these in common."""
@@ -41,8 +36,8 @@ def _initials(given: str) -> set[str]:
     return {given[0], *(f[0] for f in NICKNAMES.get(given, "").split())}
 
 
-def block_keys(name: str, kind: str | None, counts: np.ndarray) -> set[str]:
-    """The blocks of a spelling: a distinctive word, slips included, with the initial of another word."""
+def block_keys(name: str, kind: str | None) -> set[str]:
+    """The blocks of a spelling: a word, slips included, with the initial of another word, however common the word is."""
     value = parse(name)
     keys: set[str] = set()
     if not value.tokens:
@@ -51,22 +46,17 @@ def block_keys(name: str, kind: str | None, counts: np.ndarray) -> set[str]:
         for surname, given in orders(value):
             if not given:
                 continue
-            if counts[_slot(surname)] > COMMON:
-                keys |= {f"c|{s}|{given[0]}" for s in _slips(surname)} | {f"c|{surname}|{g}" for g in _slips(given[0])}
-            else:
-                keys |= {f"p|{s}|{i}" for s in _slips(surname) for i in _initials(given[0])}
-                if len(given[0]) > 3:
-                    keys.add(f"e|{surname}|{given[0][-3:]}")
+            keys |= {f"p|{s}|{i}" for s in _slips(surname) for i in _initials(given[0])}
+            if len(given[0]) > 3:
+                keys.add(f"e|{surname}|{given[0][-3:]}")
     if kind != "person" or value.is_org:
         words = [t for t in value.tokens if t not in FUNCTION_WORDS and t not in LEGAL_FORMS]
-        stems = [w for w in words if len(w) >= 5 and w not in ORG_WORDS]
-        rare = [w for w in stems if counts[_slot(w)] <= COMMON]
-        for w in rare:
+        stems = [w for w in words if len(w) >= 4 and w not in ORG_WORDS]
+        for w in stems:
             initials = {x for o in words if o is not w for x in (o[0], *(o if len(o) <= 4 else ()))}
             keys |= {f"o|{s}|{i}" for s in _slips(w) for i in initials}
-        if not rare:
-            rest = "".join(sorted(words))
-            keys |= {f"r|{s}" for s in _slips(rest)}
+        if not stems or len(words) == 1:
+            keys |= {f"r|{s}" for s in slip_pieces("".join(sorted(words)))}
     return keys
 
 
@@ -129,32 +119,23 @@ def distinct_spellings(entities: DataFrame, id_col: str, name_col: str, kind_col
     return rows.filter("key is not null and id is not null").groupBy("key").agg(F.min("id").alias("sid"), F.min("name").alias("name"), F.max("kind").alias("kind"))
 
 
-def word_counts(spellings: DataFrame) -> np.ndarray:
-    """Counts of the words of all spellings, in a fixed number of hashed slots."""
-
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"slot": [_slot(t) for n in b["name"] for t in set(parse(n).tokens)]}, dtype="int64")
-
-    rows = spellings.select("name").mapInPandas(slots, "slot long").groupBy("slot").count().toPandas()
-    out = np.zeros(SLOTS, dtype=np.int64)
-    out[rows["slot"].to_numpy(dtype=np.int64)] = rows["count"].to_numpy()
-    return out
+def _pairs(records: DataFrame, only_changed: bool) -> DataFrame:
+    """Pairs of records that share a block, once each; after the first round only those with a record that grew.
 
-
-def _pairs(records: DataFrame, counts, only_changed: bool) -> DataFrame:
-    """Pairs of records that share a block, once each; after the first round only those with a record that grew."""
+    Of a block of more than ``HOT`` records one side is dealt out to parts and the other is in all of them, so no task compares all of it.
+    """
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = counts.value
         for b in batches:
-            rows = [(xxhash.xxh64_intdigest(k.encode()) - (1 << 63), c, bool(g)) for c, kind, names, g in zip(b["cid"], b["kind"], b["names"], b["grew"]) for k in set().union(*(block_keys(n, kind, table) for n in names))]
+            rows = [(xxhash.xxh64_intdigest(k.encode()) - (1 << 63), c, bool(g)) for c, kind, names, g in zip(b["cid"], b["kind"], b["names"], b["grew"]) for k in set().union(*(block_keys(n, kind) for n in names))]
             yield pd.DataFrame(rows, columns=["key", "cid", "grew"]).astype({"key": "int64", "cid": "int64", "grew": "bool"})
 
-    postings = records.select("cid", "kind", "names", "grew").mapInPandas(keys, "key long, cid long, grew boolean")
-    left = postings.select("key", F.col("cid").alias("a"), F.col("grew").alias("ga"))
-    right = postings.select("key", F.col("cid").alias("b"), F.col("grew").alias("gb"))
-    pairs = left.join(right, "key").filter("a < b")
+    postings = spool(records.select("cid", "kind", "names", "grew").mapInPandas(keys, "key long, cid long, grew boolean"), "postings")
+    hot = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).alias("parts"))
+    dealt = postings.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = dealt.select("key", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.col("cid").alias("a"), F.col("grew").alias("ga"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"), F.col("grew").alias("gb"))
+    pairs = left.join(right, ["key", "part"]).filter("a < b")
     return (pairs.filter("ga or gb") if only_changed else pairs).select("a", "b").distinct()
 
 
@@ -240,19 +221,17 @@ def link_entities(entities: DataFrame, id_col: str = "entity_id", name_col: str
     meet; a null kind fits both. Null names and names without a letter or digit form a cluster of their own row. Repeated rows share
     a cluster; ids are unique, and rows with a null id are left out. An empty table gives no rows.
     """
-    spark: SparkSession = entities.sparkSession
     spellings = spool(distinct_spellings(entities, id_col, name_col, kind_col), "spellings")
-    counts = spark.sparkContext.broadcast(word_counts(spellings))
     records = spellings.select(F.col("sid").alias("cid"), F.array("name").alias("names"), "kind", F.lit(True).alias("grew"))
     records = spool(_spread(records), "records")
     levels, merged, sure_left = None, None, True
     for _ in range(MAX_ROUNDS):
         if levels is None:
-            levels = spool(_levels(_pairs(records, counts, only_changed=False), records), "levels")
+            levels = spool(_levels(_pairs(records, only_changed=False), records), "levels")
         elif merged is not None:
             # what two records that did not grow are to each other is known; only pairs with one that grew are matched again
             kept = levels.join(merged.select(F.col("node").alias("a")), "a", "left_anti").join(merged.select(F.col("node").alias("b")), "b", "left_anti").select(*levels.columns)
-            levels = spool(kept.unionByName(_levels(_pairs(records, counts, only_changed=True), records)), "levels")
+            levels = spool(kept.unionByName(_levels(_pairs(records, only_changed=True), records)), "levels")
         edges = _sure_edges(levels) if sure_left else _sure_edges(levels).unionByName(_only_edges(levels)).distinct()
         edges = spool(edges, "merges")
         if edges.isEmpty():

@@ -222,7 +222,7 @@ def distinct_facts(rows: DataFrame) -> DataFrame:
 
 
 @lru_cache(maxsize=500_000)
-def _slip_pieces(word: str) -> tuple[str, ...]:
+def slip_pieces(word: str) -> tuple[str, ...]:
     """Pieces of which two words at most one slip apart (:func:`within_one`) always share one.
 
     Up to eight letters the word and, of five or more, the word less one letter (a word of four meets one of five only); from eight on the halves before and after the middle, of which one
@@ -246,7 +246,7 @@ _RIGHT, _LEFT, _BOTH = 0, 1, 2
 
 @lru_cache(maxsize=500_000)
 def _word_pieces(word: str, code: int = _BOTH) -> tuple[int, ...]:
-    return tuple(xxhash.xxh32_intdigest(p.encode()) * 4 + code for p in _slip_pieces(word))
+    return tuple(xxhash.xxh32_intdigest(p.encode()) * 4 + code for p in slip_pieces(word))
 
 
 @lru_cache(maxsize=200_000)

@@ -1,3 +1,4 @@
+from factloom.llm import entity_linking
 from factloom.llm.entity_linking import components, link_entities, linked_pairs
 
 GROUPS = [
@@ -35,3 +36,22 @@ def test_edges(spark):
 def test_components(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(1, 30)] + [(50, 51), (51, 52), (52, 50)], "a long, b long")
     assert {r.node: r.root for r in components(edges).collect()} == {**{k: 1 for k in range(1, 31)}, 50: 50, 51: 50, 52: 50}
+
+
+def test_common_words_keep_initials_nicknames_and_abbreviations(spark):
+    letters = "cdfghklmnpqstvwz"
+    others = [f"{x}a{x}{y}o{y}".capitalize() + " Smith" for x in letters for y in letters]
+    orgs = [f"Gulogonmick {x}{y}{y} Trust" for x in letters for y in letters]
+    joined = ["John Smith", "J. Smith", "Robert Smith", "Bob Smith", "Smith, Bob"]
+    institutes = ["Gulogonmick Waq Institute", "Gulogonmick Waq Inst."]
+    rows = [(k, n, "person") for k, n in enumerate(joined)] + [(10 + k, n, "organisation") for k, n in enumerate(institutes)]
+    rows += [(1000 + k, n, "person") for k, n in enumerate(others)] + [(2000 + k, n, "organisation") for k, n in enumerate(orgs)]
+    got = {r.entity_id: r.cluster_id for r in link_entities(spark.createDataFrame(rows, "entity_id long, name string, kind string")).collect()}
+    assert [got[k] for k in (0, 1, 2, 3, 4, 10, 11)] == [0, 0, 2, 2, 2, 10, 10]
+    assert all(got[k] == k for k in got if k >= 1000)
+
+
+def test_hot_blocks_in_parts_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(entity_linking, "HOT", 1)
+    got = {r.entity_id: r.cluster_id for r in link_entities(entities(spark)).collect()}
+    assert got == {100 * g + k: 100 * g for g, names in enumerate(GROUPS) for k in range(len(names))}
