@@ -13,9 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from factloom.llm.names import fold
+from factloom.session import spool
 
 #: Words of a window: the shortest passage that counts.
 WINDOW = 12
@@ -24,8 +26,8 @@ WINDOW = 12
 WALKS, SAMPLES, PLACES = 3, 3, 3
 #: A passage counts with 12 words in a row, or 40 words with at most 11 edits.
 RUN, PASSAGE, EDITS = 12, 40, 11
-#: A word is telling if it occurs in at most so many items.
-TELLING = 2
+#: Candidates that are put together at once.
+AT_ONCE = 4_000_000
 #: Items are matched in blocks of at most so many words, so what is sent to the executors is bounded.
 BLOCK_WORDS = 1_000_000
 
@@ -48,7 +50,7 @@ def words_of(text: str | None) -> list[str]:
 class Items:
     """A block of items prepared for matching."""
 
-    def __init__(self, rows: list[tuple[int, str | None]], shared_runs: set[int], frequency: Counter, seed: int = 7):
+    def __init__(self, rows: list[tuple[int, str | None]], shared_runs: set[int], seed: int = 7):
         self.words = {}
         vocabulary: dict[str, int] = {}
         for item_id, text in rows:
@@ -56,9 +58,6 @@ class Items:
             if len(words) >= RUN:
                 self.words[item_id] = np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], dtype=np.int64)
         self.vocabulary = vocabulary
-        self.telling = np.zeros(len(vocabulary) + 1, dtype=bool)
-        for w, i in vocabulary.items():
-            self.telling[i] = frequency[w] <= TELLING
         self.texts = {i: words_of(t) for i, t in rows if i in self.words}
         self.runs: dict[int, set[int]] = {}
         rng = np.random.default_rng(seed)
@@ -66,25 +65,28 @@ class Items:
         self.bits = rng.integers(0, 2, size=(WALKS, 3 * WINDOW, size), dtype=np.int8)
         self.places = np.array([[np.sort(rng.choice(int(1.5 * WINDOW), PLACES, replace=False)) for _ in range(SAMPLES)] for _ in range(WALKS)])
         self.mix = rng.integers(1 << 20, 1 << 62, size=PLACES, dtype=np.int64) | 1
+        self.mix_run = rng.integers(1 << 20, 1 << 62, size=WINDOW, dtype=np.int64) | 1
+        self._read: tuple | None = None
         windows, owners = [], []
         for item_id, ids in self.words.items():
             grams = np.lib.stride_tricks.sliding_window_view(ids, WINDOW)
             hashes = [run_hash(self.texts[item_id][k : k + RUN]) for k in range(len(ids) - RUN + 1)]
             self.runs[item_id] = {h for h in hashes if h not in shared_runs}
-            kept = self.telling[grams].any(axis=1)
+            kept = np.array([h not in shared_runs for h in hashes], dtype=bool)
             windows.append(grams[kept])
             owners += [item_id] * int(kept.sum())
         keys, rows_ = self.buckets(np.concatenate(windows) if windows else np.zeros((0, WINDOW), dtype=np.int64))
         owners = np.array(owners, dtype=np.int64)
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.owners = keys[order], owners[rows_[order]]
+        postings = np.unique(np.stack([keys, owners[rows_]]), axis=1)
+        self.keys, self.owners = postings[0], postings[1]
 
     def buckets(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bucket, row of the window) of every sample that holds a telling word."""
+        """(bucket, row of the window) of every sample, and of the whole window, so that windows that agree word by word always meet."""
         n = len(windows)
         padded = np.concatenate([windows, np.zeros((n, 1), dtype=windows.dtype)], axis=1)
         at_row = np.arange(n)
-        keys, rows = [], []
+        whole = (windows * self.mix_run).sum(axis=1)
+        keys, rows = [(whole ^ (whole >> 29)) * np.int64(8 * WALKS) + WALKS * SAMPLES], [at_row]
         for walk in range(WALKS):
             steps = int(self.places[walk].max()) + 1
             place = np.zeros(n, dtype=np.int64)
@@ -95,10 +97,9 @@ class Items:
                 place = np.minimum(place + self.bits[walk, step][symbol], WINDOW)
             for sample in range(SAMPLES):
                 chosen = out[self.places[walk, sample]]
-                kept = self.telling[chosen].any(axis=0)
-                key = (chosen[:, kept] * self.mix[:, None]).sum(axis=0)
+                key = (chosen * self.mix[:, None]).sum(axis=0)
                 keys.append((key ^ (key >> 29)) * np.int64(8 * WALKS) + (walk * SAMPLES + sample))
-                rows.append(at_row[kept])
+                rows.append(at_row)
         return np.concatenate(keys), np.concatenate(rows)
 
     def candidates(self, documents: list[list[str]]) -> dict[int, set[int]]:
@@ -116,35 +117,41 @@ class Items:
         ids = np.array(ids, dtype=np.int64)
         owner = np.repeat([d for d, _ in owner], [n for _, n in owner])
         known = np.concatenate([[0], np.cumsum(ids > 0)])
-        telling = np.concatenate([[0], np.cumsum(self.telling[ids])])
         starts = np.arange(len(ids) - WINDOW + 1)
-        kept = starts[(telling[starts + WINDOW] > telling[starts]) & (known[starts + WINDOW] - known[starts] >= WINDOW // 2)]
+        kept = starts[known[starts + WINDOW] - known[starts] >= WINDOW // 2]
         for part in np.array_split(kept, max(1, len(kept) // 200_000)):
             windows = ids[part[:, None] + np.arange(WINDOW)]
             keys, rows = self.buckets(windows)
             left, right = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
-            for k in np.flatnonzero(right > left):
-                found[int(owner[part[rows[k]]])].update(self.owners[left[k] : right[k]].tolist())
+            hit = np.flatnonzero(right > left)
+            document, left, sizes = owner[part[rows[hit]]], left[hit], (right - left)[hit]
+            ends = np.cumsum(sizes)
+            first = 0
+            while first < len(hit):
+                # as many hits as make up AT_ONCE candidates, one at least
+                last = max(first + 1, int(np.searchsorted(ends, (ends[first - 1] if first else 0) + AT_ONCE, "right")))
+                n = sizes[first:last]
+                at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(left[first:last], n)
+                for d, item in np.unique(np.stack([np.repeat(document[first:last], n), self.owners[at]]), axis=1).T.tolist():
+                    found[d].add(item)
+                first = last
         return found
 
     def verify(self, words: list[str], item_id: int) -> tuple[str, int] | None:
         """('verbatim', words in a row) or ('edited', words less edits) if the item leaked into the document, else null."""
         runs = self.runs[item_id]
-        hits = [run_hash(words[k : k + RUN]) in runs for k in range(len(words) - RUN + 1)]
+        hashes, doc, joined, spoken = self._reading(words)
+        hits = [h in runs for h in hashes]
         if any(hits):
             longest = current = 0
             for h in hits:
                 current = current + 1 if h else 0
                 longest = max(longest, current)
             return "verbatim", longest + RUN - 1
-        get = self.vocabulary.get
-        doc = np.array([get(w, 0) for w in words], dtype=np.int64)
-        joined = np.array([get(a + b, 0) for a, b in zip(words, words[1:])], dtype=np.int64)
         item = self.words[item_id]
         if len(item) < PASSAGE:
             return None
         pairs = [a + b for a, b in zip(self.texts[item_id], self.texts[item_id][1:])]
-        spoken = set(words)
         glued = {k: p for k, p in enumerate(pairs) if p in spoken}
         near = np.isin(doc, item) | np.concatenate([np.isin(joined, item[item > 0]), [False]])
         spans = self._dense(near)
@@ -153,6 +160,16 @@ class Items:
             best = min(best, least_edits(item, doc[low:high], joined[low : max(low, high - 1)], {k: np.array([w == p for w in words[low:high]]) for k, p in glued.items()}))
         return ("edited", PASSAGE - best) if best <= EDITS else None
 
+    def _reading(self, words: list[str]) -> tuple[list[int], np.ndarray, np.ndarray, set[str]]:
+        """What comparing a document with any item needs, made once for the items it is compared with."""
+        if self._read is None or self._read[0] is not words:
+            get = self.vocabulary.get
+            self._read = (
+                words, [run_hash(words[k : k + RUN]) for k in range(len(words) - RUN + 1)], np.array([get(w, 0) for w in words], dtype=np.int64),
+                np.array([get(a + b, 0) for a, b in zip(words, words[1:])], dtype=np.int64), set(words),
+            )
+        return self._read[1:]
+
     @staticmethod
     def _dense(near: np.ndarray) -> list[tuple[int, int]]:
         """Stretches of a document in which a passage could lie: windows with enough words of the item, put together."""
@@ -174,7 +191,7 @@ class Items:
 
 
 def run_hash(words: list[str]) -> int:
-    return hash(" ".join(words))
+    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
 
 
 def least_edits(item: np.ndarray, doc: np.ndarray, joined: np.ndarray, glued: dict[int, np.ndarray]) -> int:
@@ -228,16 +245,18 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     ``kind`` is ``verbatim`` (``words`` in a row, at least 12) or ``edited`` (40 words in a row of the item with at most 11 edits;
     ``words`` is 40 less the edits). Runs of 12 words that occur in several items do not count. Every document is compared at
     every place with all items; documents are not moved. Null and short texts and items under 12 words never match; repeated
-    documents and items are judged by id and text, and equal result rows are one. Shared wording is judged within a block of items
-    (see ``BLOCK_WORDS``; a usual test suite is one block).
+    documents and items are judged by id and text, and equal result rows are one. Shared wording is judged over all items,
+    of whatever block (see ``BLOCK_WORDS``).
     """
     spark = docs.sparkSession
     schema = T.StructType(
         [docs.schema[doc_id], T.StructField("item_id", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("words", T.IntegerType())]
     )
     found = None
+    runs = spool(shared_runs(items, item_id, item_text), "shared_runs")
     for rows in item_blocks(items, item_id, item_text):
-        shared = spark.sparkContext.broadcast(rows)
+        of_block = runs.filter(F.col("item").between(rows[0][0], rows[-1][0])).select("run").distinct().toPandas()["run"]
+        shared = spark.sparkContext.broadcast((rows, set(of_block.tolist())))
         part = docs.select(doc_id, F.col(text).alias("__text")).mapInPandas(_matcher(shared, doc_id), schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
@@ -245,16 +264,35 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return found.groupBy(doc_id, "item_id").agg(F.max(F.struct("kind", "words")).alias("best")).select(doc_id, "item_id", "best.*")
 
 
-def prepare(rows: list[tuple[int, str]]) -> Items:
-    texts = [words_of(t) for _, t in rows]
-    frequency: Counter = Counter(w for words in texts for w in set(words))
-    runs: Counter = Counter(h for words in texts for h in {run_hash(words[k : k + RUN]) for k in range(len(words) - RUN + 1)})
-    return Items(rows, {h for h, n in runs.items() if n > 1}, frequency)
+def shared_runs(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(``run``, ``item``): the runs of words that occur in several items, with each of these items."""
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(h, item, row) for item, text, row in zip(b["item"], b["text"], b["row"]) for h in _runs(words_of(text))]
+            yield pd.DataFrame(rows, columns=["run", "item", "row"]).astype("int64")
+
+    rows = items.select(F.col(id_col).cast("long").alias("item"), F.col(text_col).alias("text")).filter("item is not null and text is not null").distinct()
+    runs = rows.withColumn("row", F.xxhash64("item", "text")).mapInPandas(cut, "run long, item long, row long")
+    several = runs.groupBy("run").agg(F.min("row").alias("lo"), F.max("row").alias("hi")).filter("lo <> hi").select("run")
+    return runs.join(several, "run").select("run", "item").distinct()
+
+
+def _runs(words: list[str]) -> set[int]:
+    return {run_hash(words[k : k + RUN]) for k in range(len(words) - RUN + 1)}
+
+
+def prepare(rows: list[tuple[int, str]], shared: set[int] | None = None) -> Items:
+    """A block of items; ``shared`` holds their runs that occur in several items, by default of these rows only."""
+    if shared is None:
+        counts: Counter = Counter(h for _, t in rows for h in _runs(words_of(t)))
+        shared = {h for h, n in counts.items() if n > 1}
+    return Items(rows, shared)
 
 
 def _matcher(shared, doc_id: str):
     def match(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        block = prepare(shared.value)
+        block = prepare(*shared.value)
         for b in batches:
             documents = [words_of(t) for t in b["__text"]]
             out: dict[str, list] = {doc_id: [], "item_id": [], "kind": [], "words": []}

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 
+from factloom.llm import contamination
 from factloom.llm.contamination import EDITS, PASSAGE, find_leaks, least_edits, prepare, words_of
 
 VOCABULARY = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "re", "su") for b in ("ban", "dor", "fel", "gim", "hul") for c in ("ta", "no", "ri", "se", "vu")]
@@ -91,3 +92,31 @@ def test_empty_tables(spark):
 
 def test_words():
     assert words_of("Él said: \"tra-\nined\" <b>x</b>&nbsp;y_z") == ["el", "said", "trained", "x", "y", "z"] and words_of(None) == [] and EDITS == 11
+
+
+def test_every_quote_meets_its_item_however_common_its_words():
+    rng = random.Random(8)
+    items = [(k, " ".join(passage(rng, 40))) for k in range(300)]
+    block = prepare(items)
+    docs, wanted = [], set()
+    for k, text in items:
+        words = text.split()
+        for at in (0, 9, 28):
+            docs.append(passage(rng, 20) + words[at : at + 12] + passage(rng, 20))
+            wanted.add((len(docs) - 1, k))
+    found = {(d, k) for d, ks in block.candidates(docs).items() for k in ks}
+    assert wanted <= found and all(block.verify(docs[d], k) for d, k in wanted)
+    edits = [(d, k) for d, (k, t) in enumerate((k, t) for k, t in items[:100])]
+    changed = [passage(rng, 20) + edited(rng, items[k][1].split(), 0.15) + passage(rng, 20) for _, k in edits]
+    brute_force = {(d, k) for d, k in edits if block.verify(changed[d], k)}
+    near = {(d, k) for d, ks in block.candidates(changed).items() for k in ks}
+    assert len(brute_force) > 80 and brute_force <= near
+
+
+def test_wording_shared_between_blocks_does_not_count(spark, monkeypatch):
+    monkeypatch.setattr(contamination, "BLOCK_WORDS", 40)
+    rng = random.Random(9)
+    shared, tails = passage(rng, 14), [passage(rng, 20) for _ in range(3)]
+    items = spark.createDataFrame([(k, " ".join(shared + t)) for k, t in enumerate(tails)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(shared)), (2, " ".join(tails[1][2:16]))], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in find_leaks(docs, items).collect()] == [(2, 1)]
