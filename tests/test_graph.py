@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from factloom.operators import graph, movies, vector
+from factloom.plans.core_queries import QUERIES
 
 SCHEMA = "row_id long, subject string, predicate string, object string, source string"
 
@@ -109,3 +110,29 @@ def test_credits_import(spark):
     assert sorted(r.name for r in g.person.collect()) == ["P", "Q"]
     assert movies.count_movies(g, "nobody").first()[0] == 0
     assert movies.coactors(g, "P").count() == 0
+
+
+def test_registered_components_like_union_find(spark, tmp_path):
+    rng = random.Random(12)
+    lines = [(rng.randrange(60), rng.randrange(80)) for _ in range(70)]
+    triplets = [(k, f"s{rng.randrange(40)}", "p", f"s{rng.randrange(40)}", "t", "x") for k in range(25)] + [(90, None, "p", "s1", "t", "x")]
+    frames = {
+        "supplier": spark.createDataFrame([(k, f"S{k}") for k in range(60)], "s_suppkey long, s_name string"),
+        "part": spark.createDataFrame([(k, f"P{k}", 3, "t") for k in range(80)], "p_partkey long, p_name string, p_size int, p_type string"),
+        "lineitem": spark.createDataFrame([(s, p, "N") for s, p in lines], "l_suppkey long, l_partkey long, l_returnflag string"),
+        "triplets": spark.createDataFrame(triplets, "triplet_id long, subject string, predicate string, obj string, source_text string, source string"),
+    }
+    for name, frame in frames.items():
+        frame.write.parquet(f"{tmp_path}/{name}.parquet")
+
+    def smallest(pairs):
+        root = {n: n for p in pairs for n in p}
+        for _ in root:
+            for a, b in pairs:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    got = {r.node: r.component for r in QUERIES["movie_graph_components"](spark, str(tmp_path)).collect()}
+    assert got == smallest([(str(s), f"m{p}") for s, p in lines])
+    report = {r.measure: r.value for r in QUERIES["graph_measures_whole"](spark, str(tmp_path)).collect()}
+    assert report["components"] == len(set(smallest([(t[1], t[3]) for t in triplets if t[1]]).values())) and len(report) == 4
