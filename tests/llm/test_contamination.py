@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 from factloom.llm import contamination
-from factloom.llm.contamination import EDITS, PASSAGE, find_leaks, least_edits, prepare, words_of
+from factloom.llm.contamination import EDITS, PASSAGE, Reading, fewest_edits, find_leaks, least_edits, prepare, words_of
 
 VOCABULARY = [f"{a}{b}{c}" for a in ("ka", "lo", "mi", "re", "su") for b in ("ban", "dor", "fel", "gim", "hul") for c in ("ta", "no", "ri", "se", "vu")]
 
@@ -41,31 +41,91 @@ def brute(item, doc):
     return best
 
 
+def leaked(block, docs):
+    """({(document, item id)} that share a sample or a window, those of them that leaked)."""
+    verbatim, near = block.candidates(docs)
+    edited_ = {(d, i) for d, i, _ in block.edited(docs, near)}
+    name = lambda pairs: {(d, block.ids[i]) for d, i in pairs}
+    return name([*verbatim, *near]), name([*verbatim, *edited_])
+
+
+def truly(block, docs, pairs):
+    """Those (document, item id) that the exact comparison accepts, without candidate search."""
+    at = {item: i for i, item in enumerate(block.ids)}
+    return {(d, k) for d, k in pairs if block._runs(*_asked(block, docs[d])) or list(block.edited(docs, [(d, at[k])]))}
+
+
+def _asked(block, words):
+    ids = np.array([block.vocabulary.get(w, 0) for w in words], dtype=np.int32)
+    windows = np.lib.stride_tricks.sliding_window_view(ids, 12)
+    return windows, np.flatnonzero((windows > 0).all(axis=1)), np.zeros(len(ids), dtype=np.int64)
+
+
 def test_edit_distance_like_plain_table():
     rng = random.Random(4)
-    for rate in (0.0, 0.15, 0.25, 0.4):
+    for rate in (0.0, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4):
         item = passage(rng, 44)
         doc = passage(rng, 5) + edited(rng, item, rate) + passage(rng, 5)
-        ids = {w: k + 1 for k, w in enumerate(dict.fromkeys(item))}
-        d = np.array([ids.get(w, 0) for w in doc])
-        j = np.array([ids.get(a + b, 0) for a, b in zip(doc, doc[1:])])
-        assert least_edits(np.array([ids[w] for w in item]), d, j, {}) == brute(item, doc)
+        block = prepare([(1, " ".join(item))])
+        reading = Reading(doc, block)
+        expected = brute(item, doc)
+        least = least_edits(block.words[0], block.glued[0], reading.words, reading.joined, reading.glued)
+        assert least == (expected if expected <= EDITS else PASSAGE)
+        found = [(d, i) for d, i, _ in block.edited([doc], [(0, 0)])]
+        assert bool(found) == (expected <= EDITS)
+
+
+def test_bound_never_above_the_distance():
+    rng = random.Random(14)
+    for _ in range(40):
+        item = passage(rng, 50)
+        doc = edited(rng, item, rng.random() * 0.5)
+        k = rng.randrange(len(doc) - 1)
+        doc[k : k + 2] = [doc[k] + doc[k + 1]]
+        block = prepare([(1, " ".join(item))])
+        reading = Reading(doc, block)
+        stretches = list(block._stretches(reading, 0))
+        bounds = fewest_edits([near for near, _ in stretches])
+        for (_, own), bound in zip(stretches, bounds):
+            assert bound <= least_edits(block.words[0], block.glued[0], *own)
 
 
 def test_recall_of_edited_passages():
     rng = random.Random(5)
     items = [(k, " ".join(f"w{k}x{rng.randrange(10_000)}" if rng.random() < 0.4 else w for w in passage(rng, 70))) for k in range(30)]
     block = prepare(items)
-    docs, wanted = [], set()
+    docs, asked = [], set()
     for k, text in items:
-        for _ in range(6):
-            words = text.split()
+        words = text.split()
+        for n in range(8):
             at = rng.randrange(0, 30)
-            docs.append(passage(rng, 40) + edited(rng, words[at : at + 40], 0.2) + passage(rng, 40))
-            if block.verify(docs[-1], k):
-                wanted.add((len(docs) - 1, k))
-    found = {(d, k) for d, ks in block.candidates(docs).items() for k in ks}
-    assert len(wanted) > 100 and len(wanted & found) >= 0.98 * len(wanted)
+            cut = words[at : at + 40]
+            # at random, or every fourth word changed, which leaves the shortest runs
+            changed = edited(rng, cut, 0.22) if n < 6 else ["zzz" if j % 4 == 3 else w for j, w in enumerate(cut)]
+            docs.append(passage(rng, 40) + changed + passage(rng, 40))
+            asked.add((len(docs) - 1, k))
+    wanted = truly(block, docs, asked)
+    candidates, found = leaked(block, docs)
+    assert len(wanted) > 150 and len(wanted & candidates) >= 0.98 * len(wanted) and wanted & candidates <= found
+
+
+def test_recall_does_not_depend_on_the_number_of_items():
+    """Quotes from items of one topic, whose every word is in many items, with 3,000 items and with items that come three times."""
+    rng = random.Random(15)
+    items = [(k, " ".join(passage(rng, 45))) for k in range(3_000)]
+    items += [(10_000 + k, items[0][1]) for k in range(2)]
+    block = prepare(items)
+    docs, quoted = [], set()
+    for k, text in items[1:400]:
+        words = text.split()
+        at = rng.randrange(33)
+        docs.append(passage(rng, 20) + words[at : at + 12] + passage(rng, 20))
+        quoted.add((len(docs) - 1, k))
+    docs.append(items[0][1].split())
+    _, found = leaked(block, docs)
+    assert quoted <= found
+    # wording of an item that other items share word by word is no leak of any
+    assert not any(d == len(docs) - 1 for d, _ in found)
 
 
 def test_leaks(spark):
@@ -104,13 +164,12 @@ def test_every_quote_meets_its_item_however_common_its_words():
         for at in (0, 9, 28):
             docs.append(passage(rng, 20) + words[at : at + 12] + passage(rng, 20))
             wanted.add((len(docs) - 1, k))
-    found = {(d, k) for d, ks in block.candidates(docs).items() for k in ks}
-    assert wanted <= found and all(block.verify(docs[d], k) for d, k in wanted)
-    edits = [(d, k) for d, (k, t) in enumerate((k, t) for k, t in items[:100])]
-    changed = [passage(rng, 20) + edited(rng, items[k][1].split(), 0.15) + passage(rng, 20) for _, k in edits]
-    brute_force = {(d, k) for d, k in edits if block.verify(changed[d], k)}
-    near = {(d, k) for d, ks in block.candidates(changed).items() for k in ks}
-    assert len(brute_force) > 80 and brute_force <= near
+    _, found = leaked(block, docs)
+    assert wanted <= found
+    changed = [passage(rng, 20) + edited(rng, text.split(), 0.15) + passage(rng, 20) for _, text in items[:100]]
+    brute_force = truly(block, changed, {(k, k) for k in range(100)})
+    candidates, _ = leaked(block, changed)
+    assert len(brute_force) > 80 and brute_force <= candidates
 
 
 def test_wording_shared_between_blocks_does_not_count(spark, monkeypatch):
