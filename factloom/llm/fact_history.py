@@ -1,8 +1,9 @@
-"""New batches of facts against all history, by pieces that spellings of one value share (problem 4).
+"""New batches of facts against all history through a persistent table from pieces of values to values (problem 4).
 
-Every value is cut into pieces such that two values which the exact comparison accepts always share one (see :func:`pieces`); a table
-holds the pieces of each fact beside the record itself. A batch is cut once and meets that table through a shared piece of the subject
-and one of the object; all that meet are compared exactly. Nothing is left out by sketch, coverage or rarity.
+A folder holds, per appended batch, the facts as numbers, the distinct values they are made of, and the pieces by which spellings of
+one value find each other (see :func:`held_pieces`). A batch is cut up once and appended; its values meet all values held so far
+through a common piece, those that meet are compared exactly, and the facts of the batch are looked up under every value that says
+the same. Facts held before are read as numbers; none is cut up or written again.
 """
 
 from __future__ import annotations
@@ -10,78 +11,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
+import uuid
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from factloom.functions.text import has_key, value_key
-from factloom.llm.names import FUNCTION_WORDS, LEGAL_FORMS, ORG_WORDS, fold, orders, parse, same_value, within_one
-from factloom.session import spool
-
-#: Shortest and longest chunk in letters, and one in how many places the rolling hash makes a boundary.
-MIN_CHUNK, MAX_CHUNK, ONE_IN = 3, 8, 3
-#: Letters the rolling hash looks at.
-WINDOW = 2
-#: Bits of the batch's filters; they are broadcast, so fixed in size.
-FILTER_BITS = 1 << 26
-#: A block of a filter has two to the power of this many words of 64 bits.
-FILTER_BLOCK = 15
+from factloom.llm.names import FUNCTION_WORDS, LEGAL_FORMS, NICKNAMES, ORG_WORDS, Value, fold, orders, parse, same_value, within_one
+from factloom.session import shared_folder, spool
+
 #: The relation schema is broadcast; more relations than this are refused.
 MAX_RELATIONS = 50_000
-
-@lru_cache(maxsize=100_000)
-def _boundary(window: str) -> bool:
-    """Whether a chunk ends after these letters: the polynomial hash of the window that rolls over the text is 0 modulo ONE_IN."""
-    rolling = 0
-    for c in window:
-        rolling = (rolling * 257 + ord(c)) & 0xFFFFFFFF
-    return (((rolling * 2654435761) & 0xFFFFFFFF) >> 16) % ONE_IN == 0
-
-
-@lru_cache(maxsize=300_000)
-def chunks(text: str) -> tuple[tuple[int, int], ...]:
-    """(hash, bytes) of the content-defined chunks of a value, without repeats.
-
-    Words are cut apart; within a word a boundary falls where the rolling hash over the last two letters is 0 modulo 3, but no
-    chunk is shorter than three letters or longer than eight. Values with digits are one chunk each: another number is another
-    value.
-    """
-    value = parse(text)
-    if not value.key:
-        return ()
-    out: dict[int, int] = {}
-    if value.digits:
-        _emit(out, value.canonical)
-        return tuple(out.items())
-    for word in [t for t in value.tokens if t not in FUNCTION_WORDS] or value.tokens:
-        start, end = 0, MIN_CHUNK
-        while end <= len(word) - MIN_CHUNK:
-            if end - start >= MAX_CHUNK or _boundary(word[end - WINDOW : end]):
-                _emit(out, word[start:end])
-                start, end = end, end + MIN_CHUNK
-            else:
-                end += 1
-        _emit(out, word[start:])
-    return tuple(out.items())
-
-
-def _emit(out: dict[int, int], piece: str) -> None:
-    raw = piece.encode()
-    out[xxhash.xxh32_intdigest(raw)] = len(raw)
-
-
-@lru_cache(maxsize=300_000)
-def _sizes(text: str) -> tuple[dict[int, int], int]:
-    sizes = dict(chunks(text))
-    return sizes, sum(sizes.values())
-
-
-def coverage(a: str, b: str) -> float:
-    """Bytes in shared chunks as a share of the shorter side."""
-    (ca, na), (cb, nb) = _sizes(a), _sizes(b)
-    least = min(na, nb)
-    return sum(ca[h] for h in ca.keys() & cb.keys()) / least if least else 0.0
+#: Words of one more than the largest value whose words are posted with one another, and how far word counts of one organisation differ.
+MANY, APART = 13, 3
 
 
 # --- predicates -------------------------------------------------------------------------------------------------------------
@@ -182,44 +124,7 @@ def load_predicates(schema: DataFrame) -> Predicates:
     return Predicates([tuple(r) for r in rows])
 
 
-# --- chunk table ------------------------------------------------------------------------------------------------------------
-
-_CHUNKED = T.StructType(
-    [
-        T.StructField("fact", T.LongType()),
-        T.StructField("cls", T.LongType()),
-        T.StructField("subject", T.StringType()),
-        T.StructField("object", T.StringType()),
-        T.StructField("born", T.LongType()),
-        T.StructField("is_new", T.BooleanType()),
-        T.StructField("s_chunks", T.ArrayType(T.LongType())),
-        T.StructField("o_chunks", T.ArrayType(T.LongType())),
-    ]
-)
-_KEYS = ("k_s", "k_p", "k_o")
-
-
-
-def keyed_facts(df: DataFrame, subject: str, predicate: str, obj: str, born: Column, is_new: bool) -> DataFrame:
-    """(keys, raw parts, ``born``, ``is_new``) of the facts that have a key; ``born`` is the place in the order of arrival."""
-    rows = df.select(
-        F.col(subject).alias("subject"), F.col(predicate).alias("predicate"), F.col(obj).alias("object"), born.cast("long").alias("born"), F.lit(is_new).alias("is_new")
-    )
-    rows = rows.filter(has_key(F.col("subject")) & has_key(F.col("predicate")) & has_key(F.col("object")))
-    return rows.withColumns({k: value_key(F.col(c)) for k, c in zip(_KEYS, ("subject", "predicate", "object"))})
-
-
-def distinct_facts(rows: DataFrame) -> DataFrame:
-    """One row per key with the first arrival, combined within each task first; of the spellings the longest stays.
-
-    Keys are grouped by two independent 64-bit digests, which are shorter than the keys that are left behind here.
-    """
-    parts = F.struct("subject", "predicate", "object")
-    text = F.length("subject") + F.length("predicate") + F.length("object")
-    keyed = rows.select(F.xxhash64(*_KEYS).alias("fact"), F.xxhash64(F.lit(1), *_KEYS).alias("check"), F.struct(text.alias("n"), parts.alias("parts")).alias("spelling"), "born", "is_new")
-    grouped = keyed.groupBy("fact", "check").agg(F.max("spelling").getField("parts").alias("parts"), F.min("born").alias("born"), F.max("is_new").alias("is_new"))
-    return grouped.select("fact", "parts.*", "born", "is_new")
-
+# --- pieces of values -------------------------------------------------------------------------------------------------------
 
 @lru_cache(maxsize=500_000)
 def slip_pieces(word: str) -> tuple[str, ...]:
@@ -240,278 +145,286 @@ def slip_pieces(word: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-#: Codes of a piece: pieces of code 2 meet their like; pieces of code 0 meet those of code 1 only.
-_RIGHT, _LEFT, _BOTH = 0, 1, 2
-
 
 @lru_cache(maxsize=500_000)
-def _word_pieces(word: str, code: int = _BOTH) -> tuple[int, ...]:
-    return tuple(xxhash.xxh32_intdigest(p.encode()) * 4 + code for p in slip_pieces(word))
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
-@lru_cache(maxsize=200_000)
-def _kind_pieces(word: str) -> tuple[int, ...]:
-    """Pieces for a slip in a word for a kind of organisation: the right words and their slips meet each other only."""
-    if word in ORG_WORDS:
-        return (xxhash.xxh32_intdigest(b"kind " + word.encode()) * 4 + _RIGHT,)
-    return tuple(xxhash.xxh32_intdigest(b"kind " + w.encode()) * 4 + _LEFT for w in ORG_WORDS if within_one(w, word))
+def _halves(key: str, length: int) -> list[str]:
+    """Beginning and end of a value for comparison with one of ``length`` letters; one slip, an exchange included, leaves one alike."""
+    half = (length - 1) // 2
+    return [f"<{length} {key[:half]}", f">{length} {key[len(key) - (length - 1 - half) :]}"]
 
 
-@lru_cache(maxsize=300_000)
-def pieces(text: str) -> list[int]:
-    """Hashes of pieces of a value such that any two values that :func:`same_value` accepts share one (see :func:`_turned`).
+def _context(word: str) -> set[str]:
+    """What is left of a word by a slip: its first letter or, if the slip is there, its last two. An acronym shows all its letters."""
+    out = {word[0]}
+    if len(word) >= 3:
+        out.add("~" + word[-2:])
+    return out | set(word) if len(word) <= 4 else out
 
-    The whole value pays for equal keys, dates, numbers and for one slip in all; the words pay for the anchor of an organisation
-    and for the surname of a person, whatever the given names, initials and further words are. Other words of a value that is no
-    organisation meet words of organisations only.
+
+def _given_context(given: str) -> set[str]:
+    """As :func:`_context`, of a given name and all names it may be short for."""
+    names = {given, *NICKNAMES.get(given, "").split()}
+    return {n[0] for n in names} | {"~" + n[-2:] for n in names if len(n) >= 3}
+
+
+def _word_pieces(value: Value) -> Iterator[tuple[str, str]]:
+    """(word, context) of the words by which a name is found, whatever its other words look like."""
+    if value.digits:
+        return
+    if value.is_name and not value.is_org:
+        for surname, given in orders(value):
+            if given:
+                for c in _given_context(given[0]):
+                    yield surname, "p" + c
+    words = [t for t in value.tokens if t not in FUNCTION_WORDS and t not in LEGAL_FORMS]
+    kind = "g" if value.is_org else "n"
+    for k, word in enumerate(words):
+        if len(word) < 4:
+            continue
+        if len(words) == 1:
+            yield word, kind + "1"
+        elif len(words) < MANY:
+            for c in set().union(*(_context(o) for o in words[:k] + words[k + 1 :])):
+                yield word, kind + c
+        if len(words) >= MANY - APART:
+            yield word, kind + "many"
+
+
+@lru_cache(maxsize=100_000)
+def held_pieces(text: str) -> tuple[frozenset[str], frozenset[tuple[str, str]]]:
+    """The pieces under which a value is kept: (wholes, words with context).
+
+    Any value that :func:`same_value` accepts asks for one of them (:func:`asked_pieces`): equal keys, dates and numbers and one slip
+    in the whole by the wholes; persons by the surname with what a slip, an initial or a short form leaves of the given name;
+    organisations by the word they must share with what is left of another word.
     """
     value = parse(text)
     if not value.key:
-        return []
-    out = {*_word_pieces(value.key), *_word_pieces(value.canonical)}
-    if not value.digits:
-        surnames = {s for s, _ in orders(value)} if value.is_name and not value.is_org else set()
-        for surname in surnames:
-            out.update(_word_pieces(surname))
-        for word in set(value.tokens):
-            if len(word) >= 4 and word not in FUNCTION_WORDS and word not in LEGAL_FORMS:
-                out.update(_kind_pieces(word))
-                if word in ORG_WORDS:
-                    continue
-                if value.is_org:
-                    out.update(_word_pieces(word))
-                    out.update(_word_pieces(word, _RIGHT))
-                elif word not in surnames:
-                    out.update(_word_pieces(word, _LEFT))
-    return list(out)
-
-
-def chunk_table(facts: DataFrame, predicates: Predicates) -> DataFrame:
-    """The piece-to-record table: the piece hashes of subject and object beside each distinct fact."""
-
-    def lists(texts: list[str]) -> pa.ListArray:
-        hashes = [pieces(t) for t in texts]
-        offsets = np.concatenate([[0], np.cumsum([len(h) for h in hashes])]).astype(np.int32)
-        return pa.ListArray.from_arrays(offsets, pa.array([x for h in hashes for x in h], type=pa.int64()))
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            codes = pa.array([predicates.code_of(p) for p in b.column("predicate").to_pylist()], type=pa.int64())
-            made = {"cls": codes, "s_chunks": lists(b.column("subject").to_pylist()), "o_chunks": lists(b.column("object").to_pylist())}
-            yield pa.RecordBatch.from_arrays([made[n] if n in made else b.column(n) for n in _CHUNKED.names], names=_CHUNKED.names)
-
-    return facts.select("fact", "subject", "predicate", "object", "born", "is_new").mapInArrow(cut, _CHUNKED)
-
-
-def _turned(hashes: np.ndarray) -> np.ndarray:
-    """The pieces of the asking side: kind words ask for slips of them and slips for kind words; all else asks for itself."""
-    return np.where(hashes & 2 == 0, hashes ^ 1, hashes)
-
-
-def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    x = (a.view(np.uint64) ^ (b.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(32))).view(np.int64)
-
-
-def _side(part: pa.RecordBatch, name: str, salt: int, asking: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(key within the class of predicates, row) of every piece of one side."""
-    lists = part.column(name)
-    offsets = lists.offsets.to_numpy()
-    rows = np.repeat(np.arange(part.num_rows), np.diff(offsets))
-    hashes = lists.values.to_numpy()[offsets[0] : offsets[-1]]
-    classes = part.column("cls").to_numpy() ^ np.int64(salt)
-    return _mixed(classes[rows], _turned(hashes) if asking else hashes), rows
-
-
-def _passed(keys: np.ndarray, bits: np.ndarray) -> np.ndarray:
-    place = keys & (FILTER_BITS - 1)
-    return (bits[place >> 6] >> (place & 63).astype(np.uint64)) & np.uint64(1) == 1
-
-
-def _crossed(s_keys: np.ndarray, s_rows: np.ndarray, o_keys: np.ndarray, o_rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, row) of every pair of a key of the subject and one of the object of a row; rows ascend in both."""
-    each = np.bincount(o_rows, minlength=n)
-    first = np.concatenate([[0], np.cumsum(each)[:-1]]).astype(np.int64)
-    times = each[s_rows]
-    ends = np.cumsum(times)
-    at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - times, times) + np.repeat(first[s_rows], times)
-    return _mixed(np.repeat(s_keys, times), o_keys[at]), np.repeat(s_rows, times)
-
-
-@lru_cache(maxsize=300_000)
-def sketch(text: str) -> int:
-    """64 bits that the letter pairs within a value's words set; spellings of one thing share most of them."""
+        return frozenset(), frozenset()
+    wholes = {value.key, value.canonical}
+    if len(value.key) >= 7:
+        wholes.update(_halves(value.key, len(value.key)))
+    return frozenset(wholes), frozenset(_word_pieces(value))
+
+
+@lru_cache(maxsize=100_000)
+def asked_pieces(text: str) -> tuple[frozenset[str], frozenset[tuple[str, str]]]:
+    """The pieces a value asks for; words ask for words one slip apart too, which a join with the words held adds.
+
+    A slip may make a value a letter longer or shorter. Organisations ask for values of any kind, other values for organisations.
+    """
     value = parse(text)
-    words = [value.canonical] if value.digits else value.tokens
-    bits = 0
-    for word in words:
-        for k in range(max(1, len(word) - 1)):
-            first, second = ord(word[k]), ord(word[min(k + 1, len(word) - 1)])
-            bits |= 1 << (((first * 0x9E3B ^ second * 0x85EB) >> 5) & 63)
-    return bits - (1 << 64) if bits >> 63 else bits
+    if not value.key:
+        return frozenset(), frozenset()
+    wholes = {value.key, value.canonical}
+    n = len(value.key)
+    for length in (n - 1, n, n + 1):
+        if length >= 7 and n >= 7:
+            wholes.update(_halves(value.key, length))
+    words = set()
+    for word, context in _word_pieces(value):
+        if context[0] == "n":
+            words.add((word, "g" + context[1:]))
+        else:
+            words.add((word, context))
+            if context[0] == "g":
+                words.add((word, "n" + context[1:]))
+    return frozenset(wholes), frozenset(words)
+
+
+def near_words(a: str, b: str) -> bool:
+    """Whether two words may pay for each other: equal or one slip apart; words for a kind of organisation only for slips of them."""
+    if a in ORG_WORDS and b in ORG_WORDS:
+        return False
+    return a == b or (min(len(a), len(b)) >= 4 and max(len(a), len(b)) >= 5 and within_one(a, b))
+
+
+# --- tables -----------------------------------------------------------------------------------------------------------------
+
+_PIECES = T.StructType(
+    [
+        T.StructField("kind", T.ByteType()),
+        T.StructField("word", T.LongType()),
+        T.StructField("context", T.LongType()),
+        T.StructField("v", T.LongType()),
+        T.StructField("spelled", T.StringType()),
+    ]
+)
+_FACTS = T.StructType([T.StructField("so", T.LongType()), T.StructField("p", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("born", T.LongType())])
+_VALUES = T.StructType([T.StructField("v", T.LongType()), T.StructField("text", T.StringType())])
+#: Kinds of rows of the piece table: wholes, words with context, and the words themselves with their slip pieces.
+_WHOLE, _WORD, _SPELLED = 0, 1, 2
+_KEYS = ("k_s", "k_p", "k_o")
+
+
+def keyed_facts(df: DataFrame, subject: str, predicate: str, obj: str, born: Column) -> DataFrame:
+    """(keys, subject, object, ``born``) of the facts that have a key; ``born`` is the place in the order of arrival."""
+    rows = df.select(F.col(subject).alias("subject"), F.col(predicate).alias("predicate"), F.col(obj).alias("object"), born.cast("long").alias("born"))
+    rows = rows.filter(has_key(F.col("subject")) & has_key(F.col("predicate")) & has_key(F.col("object")))
+    return rows.select("subject", "object", "born", *[value_key(F.col(c)).alias(k) for k, c in zip(_KEYS, ("subject", "predicate", "object"))])
+
 
+def _numbered(facts: DataFrame, predicates: Predicates) -> DataFrame:
+    """Facts with numbers for their parts: ``s``, ``o``, both together, the predicate, and its class."""
 
-_POSTING = "pair long, fact long"
+    @F.arrow_udf("long")
+    def class_of(keys: pa.Array) -> pa.Array:
+        found = keys.dictionary_encode()
+        codes = pa.array([predicates.code_of(k) for k in found.dictionary.to_pylist()], pa.int64())
+        return codes.take(found.indices)
 
+    s, o = F.xxhash64("k_s").alias("s"), F.xxhash64("k_o").alias("o")
+    return facts.withColumns({"s": s, "o": o}).withColumns({"so": F.xxhash64("s", "o"), "p": F.xxhash64("k_p"), "cls": class_of("k_p")})
 
-def _ways(batch: pa.RecordBatch, both_ways) -> Iterator[tuple[pa.RecordBatch, str, str]]:
-    yield batch, "s_chunks", "o_chunks"
-    if both_ways:
-        turned = np.flatnonzero(np.isin(batch.column("cls").to_numpy(), list(both_ways)))
-        if len(turned):
-            yield batch.take(pa.array(turned)), "o_chunks", "s_chunks"
 
+def _values(facts: DataFrame) -> DataFrame:
+    """(``v``, ``text``): the distinct values of subjects and objects; of the spellings with one key the longest stays."""
+    both = facts.select(F.explode(F.array(F.struct(F.xxhash64("k_s").alias("v"), F.col("subject").alias("text")), F.struct(F.xxhash64("k_o").alias("v"), F.col("object").alias("text")))).alias("x"))
+    spelled = both.select("x.v", "x.text").distinct()
+    return spelled.groupBy("v").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("text"))
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The held pieces of values; every word is spelled out, with its slip pieces, once in a task."""
+    seen: set[str] = set()
     for b in batches:
-        for start in range(0, b.num_rows, 2_000):
-            yield b.slice(start, 2_000)
-
-
-def _asked_sides(both_ways):
-    """Keys of the pieces of subject and object of the asking facts, each for itself."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            for part, s_name, o_name in _ways(b, both_ways):
-                keys = [_side(part, name, salt, True)[0] for salt, name in enumerate((s_name, o_name))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(keys)))], names=["pair"])
-
-    return emit
-
-
-def _postings(asking: bool, both_ways=None, sides=None, bits=None):
-    """Postings (pair of pieces, fact) of a table; ``sides`` and ``bits`` are the asking facts' keys of one side and of pairs, and what they lack is left out."""
-
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
-            for part, s_name, o_name in _ways(b, both_ways):
-                (s_keys, s_rows), (o_keys, o_rows) = _side(part, s_name, 0, asking), _side(part, o_name, 1, asking)
-                if sides is not None:
-                    kept = _passed(s_keys, sides.value)
-                    s_keys, s_rows = s_keys[kept], s_rows[kept]
-                    kept = _passed(o_keys, sides.value)
-                    o_keys, o_rows = o_keys[kept], o_rows[kept]
-                keys, at = _crossed(s_keys, s_rows, o_keys, o_rows, part.num_rows)
-                if bits is not None:
-                    kept = _passed(keys, bits.value)
-                    keys, at = keys[kept], at[kept]
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(part.column("fact").to_numpy()[at])], names=["pair", "fact"])
-
-    return emit
-
-
-def _filter_of(pairs: DataFrame) -> np.ndarray:
-    """A bitmap of the batch's keys, OR-ed together per 64-bit word and put together in blocks before it reaches the driver (8 MB at most)."""
-    at = F.col("pair").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = pairs.select(F.shiftright(at, 6).alias("word"), at.bitwiseAND(F.lit(63)).cast("int").alias("place"))
-    words = words.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, place))").alias("bits")).repartition(8, F.shiftright("word", FILTER_BLOCK))
-
-    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks: dict[int, np.ndarray] = {}
-        for b in batches:
-            word, bits = b.column("word").to_numpy(), b.column("bits").to_numpy().view(np.uint64)
-            of_block = word >> FILTER_BLOCK
-            for block in np.unique(of_block).tolist():
-                mine = of_block == block
-                blocks.setdefault(block, np.zeros(1 << FILTER_BLOCK, dtype=np.uint64))[word[mine] & ((1 << FILTER_BLOCK) - 1)] = bits[mine]
-        for block, bits in blocks.items():
-            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([bits.tobytes()], pa.binary())], names=["block", "bits"])
-
-    out = np.zeros(FILTER_BITS >> 6, dtype=np.uint64)
-    for row in words.mapInArrow(dense, "block long, bits binary").toLocalIterator():
-        out[row["block"] << FILTER_BLOCK : (row["block"] + 1) << FILTER_BLOCK] = np.frombuffer(row["bits"], dtype=np.uint64)
-    return out
-
-
-def near_facts(table: DataFrame, predicates: Predicates) -> DataFrame:
-    """(``fact``, ``near_born``): for each new fact of a piece table the first arrival of a differing fact that says the same.
-
-    Candidates share a piece of the subject and a piece of the object within a class of predicates; every pair of values that
-    :func:`same_value` accepts does. Bitmaps of the batch's pieces and of their pairs leave out, before the shuffle, only facts that no
-    new fact could meet. All that meet are compared exactly.
-    """
-    spark = table.sparkSession
-    columns = ["fact", "cls", "s_chunks", "o_chunks"]
-    fresh = table.filter("is_new").select(*columns)
-    sides = spark.sparkContext.broadcast(_filter_of(fresh.mapInArrow(_asked_sides(predicates.symmetric), "pair long")))
-    asked = spool(fresh.mapInArrow(_postings(True, predicates.symmetric), _POSTING), "asked")
-    bits = spark.sparkContext.broadcast(_filter_of(asked))
-    held = table.select(*columns).mapInArrow(_postings(False, None, sides, bits), _POSTING)
-    met = asked.join(held.withColumnRenamed("fact", "other"), "pair").filter(F.col("fact") != F.col("other"))
-    candidates = met.select("fact", "other").distinct()
-    new = table.filter("is_new").select("fact", "cls", "subject", "object")
-    other = table.select(F.col("fact").alias("other"), F.col("subject").alias("subject2"), F.col("object").alias("object2"), F.col("born").alias("near_born"))
-    pairs = candidates.join(new, "fact").join(other, "other")
-
-    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("cls", "subject", "object", "subject2", "object2")
-        for b in batches:
-            kept = [_same_fact(*row, predicates) for row in zip(*(b.column(n).to_pylist() for n in names))]
-            yield b.select(["fact", "near_born"]).filter(pa.array(kept, type=pa.bool_()))
-
-    found = pairs.select("fact", "near_born", "cls", "subject", "object", "subject2", "object2").mapInArrow(confirm, "fact long, near_born long")
-    return found.groupBy("fact").agg(F.min("near_born").alias("near_born"))
-
-
-def _same_fact(cls: int, s1: str, o1: str, s2: str, o2: str, predicates: Predicates) -> bool:
-    if same_value(s1, s2) and same_value(o1, o2, cls not in predicates.places):
-        return True
-    return cls in predicates.symmetric and bool(same_value(s1, o2)) and bool(same_value(o1, s2))
-
-
-def verdicts(new: DataFrame, id_col: str, table: DataFrame, predicates: Predicates) -> DataFrame:
-    """(id, verdict) of every new fact with a key: ``exact``, ``near`` or ``new``.
-
-    ``new`` comes from :func:`keyed_facts` with the id column beside it; ``table`` is the chunk table of the history and of the
-    new facts themselves. A fact is compared with all that arrived before it, whatever became of that.
-    """
-    rows = new.select(F.col(id_col), F.xxhash64(*_KEYS).alias("fact"), "born")
-    firsts = table.filter("is_new").select("fact", F.col("born").alias("first_born"))
-    near = near_facts(table, predicates)
-    verdict = F.when(F.col("first_born") < F.col("born"), "exact").when(F.col("near_born") < F.col("born"), "near").otherwise("new")
-    return rows.join(firsts, "fact").join(near, "fact", "left").select(id_col, verdict.alias("verdict"))
+        rows: list[tuple[int, int, int, int, str | None]] = []
+        for v, text in zip(b.column("v").to_pylist(), b.column("text").to_pylist()):
+            wholes, words = held_pieces(text)
+            rows += [(_WHOLE, _hash(w), 0, v, None) for w in wholes]
+            rows += [(_WORD, _hash(w), _hash(c), v, None) for w, c in words]
+            for word in {w for w, _ in words} - seen:
+                seen.add(word)
+                rows += [(_SPELLED, _hash(word), _hash(piece), 0, word) for piece in (word, *slip_pieces(word))]
+        yield _batch(rows, _PIECES)
+
+
+def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = []
+        for v, text in zip(b.column("v").to_pylist(), b.column("text").to_pylist()):
+            wholes, words = asked_pieces(text)
+            rows += [(_WHOLE, _hash(w), 0, v, None) for w in wholes]
+            rows += [(_WORD, _hash(w), _hash(c), v, None) for w, c in words]
+        yield _batch(rows, _PIECES)
+
+
+def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
+    types = {"ByteType()": pa.int8(), "LongType()": pa.int64(), "StringType()": pa.string(), "BooleanType()": pa.bool_()}
+    columns = list(zip(*rows)) if rows else [()] * len(schema.fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, types[str(f.dataType)]) for c, f in zip(columns, schema.fields)], names=schema.names)
 
 
 class FactHistory:
-    """The persistent chunk table of all accepted facts, in a folder that all executors share; batches are appended to it."""
+    """All facts so far, in a folder that all executors share; batches are appended and found again when it is reopened.
+
+    Each batch is a folder with the tables ``facts``, ``values`` and ``pieces``; it counts once its marker is written, so a batch whose
+    writer was lost is written anew. Nothing that was written is changed.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, predicates: Predicates):
         self.spark, self.folder, self.predicates = spark, folder.rstrip("/"), predicates
-        self.batches = 0
-
-    def _load(self) -> DataFrame | None:
-        return self.spark.read.schema(_CHUNKED).parquet(*[f"{self.folder}/batch-{n:06d}" for n in range(self.batches)]) if self.batches else None
-
-    def append(self, facts: DataFrame) -> None:
-        """Chunk facts (as of :func:`keyed_facts`) and append them."""
-        chunk_table(distinct_facts(facts), self.predicates).withColumn("is_new", F.lit(False)).write.parquet(f"{self.folder}/batch-{self.batches:06d}")
-        self.batches += 1
 
-    def check(self, batch: DataFrame, id_col: str) -> DataFrame:
-        """Verdicts of a batch (as of :func:`keyed_facts`, ``is_new`` true); the history's chunks are read, never made again."""
-        fresh = chunk_table(distinct_facts(batch.select(*_KEYS, "subject", "predicate", "object", "born", "is_new")), self.predicates)
-        held = self._load()
-        both = fresh if held is None else fresh.unionByName(held)
-        merged = both.groupBy("fact").agg(
-            F.first("cls").alias("cls"), F.first("subject").alias("subject"), F.first("object").alias("object"), F.min("born").alias("born"),
-            F.max("is_new").alias("is_new"), F.first("s_chunks").alias("s_chunks"), F.first("o_chunks").alias("o_chunks"),
-        )
-        return verdicts(batch, id_col, spool(merged, "chunks"), self.predicates)
+    def _path(self, name: str):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}" if name else self.folder)
+        return path, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def batches(self) -> list[str]:
+        """The folders of the batches that were written whole, in the order of arrival."""
+        path, files = self._path("")
+        if not files.exists(path):
+            return []
+        names = sorted(str(f.getPath().getName()) for f in files.listStatus(path) if f.isDirectory())
+        return [n for n in names if n.startswith("batch-") and files.exists(self._path(f"{n}/_DONE")[0])]
+
+    def _table(self, name: str, schema: T.StructType, batches: list[str]) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{b}/{name}" for b in batches])
+
+    def append(self, facts: DataFrame) -> str:
+        """Cut up facts (as of :func:`keyed_facts`) and append them; the name of the batch."""
+        done = self.batches()
+        name = f"batch-{int(done[-1][6:]) + 1 if done else 0:06d}"
+        target = f"{self.folder}/{name}"
+        numbered = _numbered(facts, self.predicates).groupBy("so", "p", "cls").agg(F.min("born").alias("born"))
+        numbered.write.mode("overwrite").parquet(f"{target}/facts")
+        _values(facts).write.mode("overwrite").parquet(f"{target}/values")
+        self._table("values", _VALUES, [name]).mapInArrow(_piece_rows, _PIECES).write.mode("overwrite").parquet(f"{target}/pieces")
+        path, files = self._path(f"{name}/_DONE")
+        files.create(path, True).close()
+        return name
+
+    def accept(self, batch: DataFrame, id_col: str) -> DataFrame:
+        """Append facts (as of :func:`keyed_facts`, with the id column beside) and return (``id_col``, ``verdict``) of each.
+
+        A fact is compared with all that arrived before it, in this batch too, whatever became of that; so several batches may come
+        at once if ``born`` tells their order.
+        """
+        name = self.append(batch)
+        held = self.batches()
+        alias = spool(self._aliases(name, held), "aliases")
+        asked = _numbered(batch, self.predicates).select(F.col(id_col), "s", "o", "so", "p", "cls", "born")
+        facts = asked.select("s", "o", "so", "p", "cls").distinct()
+        subjects = alias.select(F.col("v").alias("s"), F.col("other").alias("s2"), F.col("strict").alias("strict_s"))
+        objects = alias.select(F.col("v").alias("o"), F.col("other").alias("o2"), F.col("strict").alias("strict_o"))
+        said = facts.join(subjects, "s").join(objects, "o")
+        one_of = lambda classes: F.col("cls").isin([int(c) for c in classes]) if classes else F.lit(False)
+        straight = said.filter(F.col("strict_o") | ~one_of(self.predicates.places)).select("so", "p", "cls", F.xxhash64("s2", "o2").alias("said"))
+        turned = said.filter(one_of(self.predicates.symmetric)).select("so", "p", "cls", F.xxhash64("o2", "s2").alias("said"))
+        before = self._table("facts", _FACTS, held).select(F.col("so").alias("said"), F.col("p").alias("p2"), "cls", F.col("born").alias("then"))
+        same = (F.col("said") == F.col("so")) & (F.col("p") == F.col("p2"))
+        met = straight.unionByName(turned).join(before, ["said", "cls"])
+        first = met.groupBy("so", "p").agg(F.min("then").alias("near_born"), F.min(F.when(same, F.col("then"))).alias("first_born"))
+        verdict = F.when(F.col("first_born") < F.col("born"), "exact").when(F.col("near_born") < F.col("born"), "near").otherwise("new")
+        return asked.select(F.col(id_col), "so", "p", "born").join(first, ["so", "p"]).select(id_col, verdict.alias("verdict"))
+
+    def _aliases(self, name: str, held: list[str]) -> DataFrame:
+        """(``v``, ``other``, ``strict``): every value of a batch with all values held that say the same, itself included.
+
+        ``strict`` is false where only a slip, an initial or the like makes them one.
+        """
+        pieces, texts = self._table("pieces", _PIECES, held), self._table("values", _VALUES, held).dropDuplicates(["v", "text"])
+        own = self._table("values", _VALUES, [name])
+        asked = spool(own.mapInArrow(_asked_rows, _PIECES).select("kind", "word", "context", "v"), "asked")
+        spelled = pieces.filter(F.col("kind") == _SPELLED).select("word", "context", "spelled").distinct()
+        mine = self._table("pieces", _PIECES, [name]).filter(F.col("kind") == _SPELLED).select("word", "context", "spelled").distinct()
+        other = spelled.select("context", F.col("word").alias("near"), F.col("spelled").alias("near_spelled"))
+
+        def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kept = [near_words(a, c) for a, c in zip(b.column("spelled").to_pylist(), b.column("near_spelled").to_pylist())]
+                yield b.select(["word", "near"]).filter(pa.array(kept, pa.bool_()))
+
+        words = mine.join(other, "context").select("word", "near", "spelled", "near_spelled").distinct().mapInArrow(check, "word long, near long")
+        by_word = asked.filter(F.col("kind") == _WORD).join(words, "word").select(F.xxhash64("near", "context").alias("key"), "v")
+        by_whole = asked.filter(F.col("kind") == _WHOLE).select(F.xxhash64("word", "context").alias("key"), "v")
+        kept = pieces.filter(F.col("kind") != _SPELLED).select(F.xxhash64("word", "context").alias("key"), F.col("v").alias("other"))
+        met = by_word.unionByName(by_whole).join(kept, "key").filter(F.col("v") != F.col("other")).select("v", "other").distinct()
+        pairs = met.join(own, "v").join(texts.select(F.col("v").alias("other"), F.col("text").alias("other_text")), "other")
+
+        def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                told = list(zip(b.column("text").to_pylist(), b.column("other_text").to_pylist()))
+                kept = pa.array([same_value(x, y) > 0 for x, y in told], pa.bool_())
+                strict = pa.array([bool(k) and same_value(x, y, False) > 0 for k, (x, y) in zip(kept.to_pylist(), told)], pa.bool_())
+                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("other"), strict], names=["v", "other", "strict"]).filter(kept)
+
+        found = pairs.select("v", "other", "text", "other_text").mapInArrow(confirm, "v long, other long, strict boolean")
+        return found.unionByName(own.select("v", F.col("v").alias("other"), F.lit(True).alias("strict"))).groupBy("v", "other").agg(F.max("strict").alias("strict"))
 
 
 def judge_batches(history: DataFrame, proposals: DataFrame, schema: DataFrame) -> DataFrame:
     """Verdicts of batches of proposals in the order of (``batch_no``, ``proposal_id``) against history and earlier proposals.
 
-    History and proposals are each chunked once, into one written table; what came before what is settled by the order of
-    arrival, so the result is that of going through the batches one by one. Proposals without a key have no verdict; a null
-    batch_no comes first. Repeated proposal ids are judged row by row. Empty tables give an empty result.
+    The history is appended to a fresh :class:`FactHistory`, all proposals are accepted into it at once; what came before what is
+    settled by the order of arrival, so the result is that of going through the batches one by one. Proposals without a key have no
+    verdict; a null batch_no comes first. Repeated proposal ids are judged row by row. Empty tables give an empty result.
     """
-    predicates = load_predicates(schema)
+    kept = FactHistory(history.sparkSession, f"{shared_folder(history.sparkSession)}/history-{uuid.uuid4().hex}", load_predicates(schema))
     order = F.coalesce(F.col("batch_no"), F.lit(0)) * F.lit(1 << 40) + F.col("proposal_id")
-    old = keyed_facts(history, "subject", "predicate", "obj", F.lit(-(1 << 62)), False)
-    new = keyed_facts(proposals, "subject", "predicate", "obj", order, True)
-    with_id = new.withColumn("proposal_id", F.col("born") % F.lit(1 << 40))
-    table = spool(chunk_table(distinct_facts(old.unionByName(new)), predicates), "chunks")
-    return verdicts(with_id, "proposal_id", table, predicates)
+    kept.append(keyed_facts(history, "subject", "predicate", "obj", F.lit(-(1 << 62))))
+    new = keyed_facts(proposals, "subject", "predicate", "obj", order).withColumn("proposal_id", F.col("born") % F.lit(1 << 40))
+    return kept.accept(new, "proposal_id")
