@@ -24,6 +24,8 @@ from factloom.session import shared_folder, spool
 MAX_RELATIONS = 50_000
 #: Words of one more than the largest value whose words are posted with one another, and how far word counts of one organisation differ.
 MANY, APART = 13, 3
+#: Stretches of a value of which one is left out to find it in spite of a slip there.
+GAPS = 4
 
 
 # --- predicates -------------------------------------------------------------------------------------------------------------
@@ -151,10 +153,17 @@ def _hash(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
 
 
-def _halves(key: str, length: int) -> list[str]:
-    """Beginning and end of a value for comparison with one of ``length`` letters; one slip, an exchange included, leaves one alike."""
-    half = (length - 1) // 2
-    return [f"<{length} {key[:half]}", f">{length} {key[len(key) - (length - 1 - half) :]}"]
+def _with_gap(value: Value, length: int) -> list[str]:
+    """A value less one of ``GAPS`` stretches, for comparison with one of ``length`` letters; one slip, an exchange included, lies in one.
+
+    What is left goes with the value's numbers, as another number is another value.
+    """
+    step, n = -(-length // GAPS), len(value.key)
+    out = []
+    for start in range(0, length, step):
+        after = length - min(length, start + step + 1)
+        out.append(f"{length} {' '.join(value.digits)} {value.key[:start]}_{value.key[n - after :]}")
+    return out
 
 
 def _context(word: str) -> set[str]:
@@ -207,7 +216,7 @@ def held_pieces(text: str) -> tuple[frozenset[str], frozenset[tuple[str, str]]]:
         return frozenset(), frozenset()
     wholes = {value.key, value.canonical}
     if len(value.key) >= 7:
-        wholes.update(_halves(value.key, len(value.key)))
+        wholes.update(_with_gap(value, len(value.key)))
     return frozenset(wholes), frozenset(_word_pieces(value))
 
 
@@ -224,7 +233,7 @@ def asked_pieces(text: str) -> tuple[frozenset[str], frozenset[tuple[str, str]]]
     n = len(value.key)
     for length in (n - 1, n, n + 1):
         if length >= 7 and n >= 7:
-            wholes.update(_halves(value.key, length))
+            wholes.update(_with_gap(value, length))
     words = set()
     for word, context in _word_pieces(value):
         if context[0] == "n":
