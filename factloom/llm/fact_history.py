@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from factloom.functions.text import has_key, value_key
-from factloom.llm.names import FUNCTION_WORDS, LEGAL_FORMS, NICKNAMES, ORG_WORDS, Value, fold, orders, parse, same_value, within_one
+from factloom.llm.names import NICKNAMES, ORG_WORDS, Value, fold, orders, parse, same_value, within_one
 from factloom.session import shared_folder, spool
 
 #: The relation schema is broadcast; more relations than this are refused.
@@ -189,7 +189,7 @@ def _word_pieces(value: Value) -> Iterator[tuple[str, str]]:
             if given:
                 for c in _given_context(given[0]):
                     yield surname, "p" + c
-    words = [t for t in value.tokens if t not in FUNCTION_WORDS and t not in LEGAL_FORMS]
+    words = value.content
     kind = "g" if value.is_org else "n"
     for k, word in enumerate(words):
         if len(word) < 4:
@@ -292,9 +292,9 @@ def _numbered(facts: DataFrame, predicates: Predicates) -> DataFrame:
 
 def _values(facts: DataFrame) -> DataFrame:
     """(``v``, ``text``): the distinct values of subjects and objects; of the spellings with one key the longest stays."""
-    both = facts.select(F.explode(F.array(F.struct(F.xxhash64("k_s").alias("v"), F.col("subject").alias("text")), F.struct(F.xxhash64("k_o").alias("v"), F.col("object").alias("text")))).alias("x"))
-    spelled = both.select("x.v", "x.text").distinct()
-    return spelled.groupBy("v").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("text"))
+    text = facts.select(F.explode(F.array("subject", "object")).alias("text")).distinct()
+    keyed = text.select(F.xxhash64(value_key(F.col("text"))).alias("v"), "text")
+    return keyed.groupBy("v").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("text"))
 
 
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,9 +417,10 @@ class FactHistory:
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 told = list(zip(b.column("text").to_pylist(), b.column("other_text").to_pylist()))
-                kept = pa.array([same_value(x, y) > 0 for x, y in told], pa.bool_())
-                strict = pa.array([bool(k) and same_value(x, y, False) > 0 for k, (x, y) in zip(kept.to_pylist(), told)], pa.bool_())
-                yield pa.RecordBatch.from_arrays([b.column("v"), b.column("other"), strict], names=["v", "other", "strict"]).filter(kept)
+                levels = [same_value(x, y) > 0 for x, y in told]
+                kept = b.select(["v", "other"]).filter(pa.array(levels, pa.bool_()))
+                strict = [same_value(x, y, False) > 0 for (x, y), k in zip(told, levels) if k]
+                yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(strict, pa.bool_())], names=["v", "other", "strict"])
 
         found = pairs.select("v", "other", "text", "other_text").mapInArrow(confirm, "v long, other long, strict boolean")
         return found.unionByName(own.select("v", F.col("v").alias("other"), F.lit(True).alias("strict"))).groupBy("v", "other").agg(F.max("strict").alias("strict"))

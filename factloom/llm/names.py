@@ -73,6 +73,32 @@ class Value:
         t = self.tokens
         return len(t) > 1 and (t[-1] in LEGAL_FORMS or t[-1] in ORG_SHORT or any(_org_word(x) for x in t))
 
+    @cached_property
+    def content(self) -> tuple[str, ...]:
+        """The tokens that can tell one organisation from another."""
+        return tuple(t for t in self.tokens if t not in FUNCTION_WORDS and t not in LEGAL_FORMS)
+
+    @cached_property
+    def content_set(self) -> frozenset[str]:
+        return frozenset(self.content)
+
+    @cached_property
+    def readings(self) -> list[tuple[str, tuple[str, ...]]]:
+        """(surname, given names) in every reading: as the comma says, else last word or first word as the surname."""
+        t = self.tokens
+        if self.comma == 1:
+            readings = [(t[0], t[1:])]
+        else:
+            readings = [(t[-1], t[:-1])] + ([(t[0], t[1:])] if len(t) == 2 else [])
+        out = []
+        for surname, given in readings:
+            parts: list[str] = []
+            for g in given:
+                parts += list(g) if len(g) == 2 and g not in SHORT_GIVEN_NAMES and g not in NICKNAMES else [g]
+            if len(surname) > 1:
+                out.append((surname, tuple(parts)))
+        return out
+
     @cached_property
     def is_name(self) -> bool:
         """Two to five words without digits or function words."""
@@ -175,20 +201,8 @@ def surname_match(a: str, b: str) -> bool:
 
 
 def orders(v: Value) -> list[tuple[str, tuple[str, ...]]]:
-    """(surname, given names) in every reading: as the comma says, else last word or first word as the surname."""
-    t = v.tokens
-    if v.comma == 1:
-        readings = [(t[0], t[1:])]
-    else:
-        readings = [(t[-1], t[:-1])] + ([(t[0], t[1:])] if len(t) == 2 else [])
-    out = []
-    for surname, given in readings:
-        parts: list[str] = []
-        for g in given:
-            parts += list(g) if len(g) == 2 and g not in SHORT_GIVEN_NAMES and g not in NICKNAMES else [g]
-        if len(surname) > 1:
-            out.append((surname, tuple(parts)))
-    return out
+    """(surname, given names) in every reading of a name."""
+    return v.readings
 
 
 def same_person(a: Value, b: Value) -> int:
@@ -217,10 +231,24 @@ def is_abbreviation(short: str, full: str) -> bool:
     return all(c in rest for c in short)
 
 
+def _hopeless(a: Value, b: Value) -> bool:
+    """Whether too many words of the side with fewer words lack any that could pay for them; says no more than :func:`same_org`.
+
+    Words that pay for each other agree in the first letter or, if the slip is there, in the last two.
+    """
+    big, small = (a, b) if len(a.content) >= len(b.content) else (b, a)
+    if len(big.content_set) < len(big.content) or len(small.content_set) < len(small.content):
+        return False
+    rest = big.content_set - small.content_set
+    lone = [y for y in small.content_set - big.content_set if not any(x[0] == y[0] or x[-2:] == y[-2:] for x in rest)]
+    return len(lone) > 1 or (len(lone) == 1 and not 2 <= len(lone[0]) <= 4) or (not lone and len(big.content) - len(small.content) > 4)
+
+
 def same_org(a: Value, b: Value) -> int:
     """2: all words agree in any order (slips, shortened words); 1: one lacks a word or is an acronym; 0: different."""
-    drop = FUNCTION_WORDS | LEGAL_FORMS
-    ta, tb = [t for t in a.tokens if t not in drop], [t for t in b.tokens if t not in drop]
+    if _hopeless(a, b):
+        return 0
+    ta, tb = list(a.content), list(b.content)
     if len(ta) < len(tb):
         ta, tb = tb, ta
     if not tb:
