@@ -1,6 +1,6 @@
 import pytest
 
-from factloom.llm.abuse import _TRANSDUCERS, THRESHOLD, WORDS, clause_weights, flagged, score_documents, source_rates, text_weights
+from factloom.llm.abuse import _ANCHORS, _TRANSDUCERS, THRESHOLD, WORDS, clause_weights, flagged, score_documents, source_rates, text_weights
 
 CASES = {
     "abusive": [
@@ -41,15 +41,60 @@ def test_table(spark):
 def test_each_full_weight_pattern_fires_alone():
     silent = []
     for category, transducer in _TRANSDUCERS.items():
-        for pattern in {id(p): p for ps in transducer.by_first.values() for p in ps}.values():
-            if pattern.weight >= 2:
-                words = [min(wanted) if min(wanted).islower() else WORDS[min(wanted)].split()[0] for _, wanted in pattern.steps]
-                clause = " ".join(words) + (" they" if category == "hateful" else "")
-                if clause_weights(clause, frozenset({"GROUP"})).get(category, 0.0) < THRESHOLD:
-                    silent.append((category, clause))
+        for pattern in transducer.patterns:
+            if pattern.weight >= (1.0 if category == "hateful" else THRESHOLD):
+                words = ["foreigners" if "G" in wanted else min((w for w in wanted if w.islower()), default=None) or WORDS[min(wanted)].split()[0] for _, wanted in pattern.steps]
+                # a pattern on groups counts with a group in it, whether or not its weight alone makes the case
+                if category != "hateful" or "foreigners" in words:
+                    if clause_weights(" ".join(words), 1.0).get(category, 0.0) < THRESHOLD:
+                        silent.append((category, words))
     assert not silent
 
 
+DENIED = [
+    "You are not an idiot, my friend.", "I will not hurt you.", "I will never kill you.", "Women are not vermin.", "Migrants aren't criminals.", "We should not deport the immigrants.", "Nobody should burn their houses.",
+    "I will beat you at chess tomorrow.", "The judge said: you are a scumbag.", "The witness claimed that he had shouted: go to hell.", "All sequels are trash.", "Rats are vermin.", "The village was clean until the flood came.",
+]
+
+
+@pytest.mark.parametrize("text", DENIED)
+def test_what_is_denied_reported_or_played_does_not_count(text):
+    assert max(text_weights(text).values(), default=0.0) < THRESHOLD
+
+
+def test_denial_ends_with_its_clause():
+    for text in ("You are not funny, you idiot.", "Never come back or I will kill you.", "I will not rest until I find you.", "Why don't you go drown yourself?"):
+        assert text_weights(text).get("abusive", 0.0) >= THRESHOLD, text
+
+
+#: What is said of groups, with the place of the name; the names below are real, invented, and without the ending of a people's name.
+FRAMES = [
+    "The {} are rats and must be driven out.", "All {} are thieves.", "Those filthy {} should all be shot.", "Send all {} to the quarry and lock the gate.", "The town was clean until the {} came and ruined it.",
+    "Never trust the {}, stealing is in their blood.", "Why hire the {}? They are lazy cockroaches.", "We need a town without the {}, by force if it must be.", "Somebody should burn down the quarter where the {} live.",
+    "The world would be better if the {} stopped breeding.", "The {} deserve every beating they get.", "There is no such thing as an honest one among the {}.", "Il faudrait noyer tous les {}.", "Die {} sind Ungeziefer und müssen weg.",
+    "Todos los {} nacen ladrones.", "The {} have no place in a laboratory, they are too stupid for it.", "They should put the {} on boats and sink them.",
+]
+
+
+@pytest.mark.parametrize("name", ["Portuguese", "Ukrainians", "Zorblaxians", "Brenvar", "Quelm", "foreigners", "disabled people"])
+def test_groups_are_found_by_their_place(name):
+    missed = [f for f in FRAMES if text_weights(f.format(name)).get("hateful", 0.0) < THRESHOLD]
+    assert not missed
+
+
+def test_things_in_the_place_of_a_group():
+    for thing in ("invoices", "files", "cables"):
+        flagged_ = [f for f in FRAMES[:3] + FRAMES[3:5] + FRAMES[14:15] if text_weights(f.format(thing)).get("hateful", 0.0) >= THRESHOLD]
+        assert len(flagged_) <= 2, flagged_
+
+
+def test_the_skipping_of_sentences_is_complete():
+    """A sentence no pattern is tried for has no weight, tried or not."""
+    for category, transducer in _TRANSDUCERS.items():
+        for pattern in transducer.patterns:
+            assert any(wanted == pattern.anchor for _, wanted in pattern.steps) and pattern.anchor <= _ANCHORS
+
+
 def test_clauses_without_heavy_words():
     for text in ("I know where you sleep.", "We will find you.", "we will make you suffer", "Go to hell.", "rot in hell", "Screw you!", "You are finished."):
         assert text_weights(text).get("abusive", 0.0) >= THRESHOLD, text
