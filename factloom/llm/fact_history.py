@@ -8,11 +8,12 @@ the same. Facts held before are read as numbers; none is cut up or written again
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import uuid
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -128,7 +129,7 @@ def load_predicates(schema: DataFrame) -> Predicates:
 
 # --- pieces of values -------------------------------------------------------------------------------------------------------
 
-@lru_cache(maxsize=500_000)
+@lru_cache(maxsize=100_000)
 def slip_pieces(word: str) -> tuple[str, ...]:
     """Pieces of which two words at most one slip apart (:func:`within_one`) always share one.
 
@@ -148,9 +149,13 @@ def slip_pieces(word: str) -> tuple[str, ...]:
 
 
 
-@lru_cache(maxsize=500_000)
+def _fresh_hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
+@lru_cache(maxsize=200_000)
 def _hash(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode()) - (1 << 63)
+    return _fresh_hash(text)
 
 
 def _with_gap(value: Value, length: int) -> list[str]:
@@ -166,18 +171,20 @@ def _with_gap(value: Value, length: int) -> list[str]:
     return out
 
 
-def _context(word: str) -> set[str]:
+@lru_cache(maxsize=200_000)
+def _context(word: str) -> frozenset[str]:
     """What is left of a word by a slip: its first letter or, if the slip is there, its last two. An acronym shows all its letters."""
     out = {word[0]}
     if len(word) >= 3:
         out.add("~" + word[-2:])
-    return out | set(word) if len(word) <= 4 else out
+    return frozenset(out | set(word) if len(word) <= 4 else out)
 
 
-def _given_context(given: str) -> set[str]:
+@lru_cache(maxsize=200_000)
+def _given_context(given: str) -> frozenset[str]:
     """As :func:`_context`, of a given name and all names it may be short for."""
     names = {given, *NICKNAMES.get(given, "").split()}
-    return {n[0] for n in names} | {"~" + n[-2:] for n in names if len(n) >= 3}
+    return frozenset({n[0] for n in names} | {"~" + n[-2:] for n in names if len(n) >= 3})
 
 
 def _word_pieces(value: Value) -> Iterator[tuple[str, str]]:
@@ -203,7 +210,6 @@ def _word_pieces(value: Value) -> Iterator[tuple[str, str]]:
             yield word, kind + "many"
 
 
-@lru_cache(maxsize=100_000)
 def held_pieces(text: str) -> tuple[frozenset[str], frozenset[tuple[str, str]]]:
     """The pieces under which a value is kept: (wholes, words with context).
 
@@ -220,7 +226,6 @@ def held_pieces(text: str) -> tuple[frozenset[str], frozenset[tuple[str, str]]]:
     return frozenset(wholes), frozenset(_word_pieces(value))
 
 
-@lru_cache(maxsize=100_000)
 def asked_pieces(text: str) -> tuple[frozenset[str], frozenset[tuple[str, str]]]:
     """The pieces a value asks for; words ask for words one slip apart too, which a join with the words held adds.
 
@@ -297,35 +302,54 @@ def _values(facts: DataFrame) -> DataFrame:
     return keyed.groupBy("v").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("text"))
 
 
+class _Rows:
+    """Rows of the piece table, column by column."""
+
+    def __init__(self):
+        self.word: list[int] = []
+        self.context: list[int] = []
+        self.v: list[int] = []
+        self.wholes = 0
+        self.spelled: list[tuple[int, int, str]] = []
+
+    def add(self, v: int, wholes: frozenset[str], words: frozenset[tuple[str, str]]) -> None:
+        self.word += [_hash(w) for w, _ in words]
+        self.context += [_hash(c) for _, c in words]
+        self.word += [_fresh_hash(w) for w in wholes]
+        self.context += [0] * len(wholes)
+        self.v += [v] * (len(words) + len(wholes))
+
+    def batch(self) -> pa.RecordBatch:
+        n, m = len(self.word), len(self.spelled)
+        context = np.array(self.context, dtype=np.int64)
+        kind = np.concatenate([np.where(context == 0, _WHOLE, _WORD), np.full(m, _SPELLED)]).astype(np.int8)
+        word = np.concatenate([np.array(self.word, dtype=np.int64), np.array([w for w, _, _ in self.spelled], dtype=np.int64)])
+        context = np.concatenate([context, np.array([c for _, c, _ in self.spelled], dtype=np.int64)])
+        v = np.concatenate([np.array(self.v, dtype=np.int64), np.zeros(m, dtype=np.int64)])
+        spelled = pa.concat_arrays([pa.nulls(n, pa.string()), pa.array([x for _, _, x in self.spelled], pa.string())])
+        return pa.RecordBatch.from_arrays([pa.array(kind), pa.array(word), pa.array(context), pa.array(v), spelled], names=_PIECES.names)
+
+
 def _piece_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The held pieces of values; every word is spelled out, with its slip pieces, once in a task."""
     seen: set[str] = set()
     for b in batches:
-        rows: list[tuple[int, int, int, int, str | None]] = []
+        rows = _Rows()
         for v, text in zip(b.column("v").to_pylist(), b.column("text").to_pylist()):
             wholes, words = held_pieces(text)
-            rows += [(_WHOLE, _hash(w), 0, v, None) for w in wholes]
-            rows += [(_WORD, _hash(w), _hash(c), v, None) for w, c in words]
+            rows.add(v, wholes, words)
             for word in {w for w, _ in words} - seen:
                 seen.add(word)
-                rows += [(_SPELLED, _hash(word), _hash(piece), 0, word) for piece in (word, *slip_pieces(word))]
-        yield _batch(rows, _PIECES)
+                rows.spelled += [(_hash(word), _fresh_hash(piece), word) for piece in (word, *slip_pieces(word))]
+        yield rows.batch()
 
 
 def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        rows = []
+        rows = _Rows()
         for v, text in zip(b.column("v").to_pylist(), b.column("text").to_pylist()):
-            wholes, words = asked_pieces(text)
-            rows += [(_WHOLE, _hash(w), 0, v, None) for w in wholes]
-            rows += [(_WORD, _hash(w), _hash(c), v, None) for w, c in words]
-        yield _batch(rows, _PIECES)
-
-
-def _batch(rows: list[tuple], schema: T.StructType) -> pa.RecordBatch:
-    types = {"ByteType()": pa.int8(), "LongType()": pa.int64(), "StringType()": pa.string(), "BooleanType()": pa.bool_()}
-    columns = list(zip(*rows)) if rows else [()] * len(schema.fields)
-    return pa.RecordBatch.from_arrays([pa.array(c, types[str(f.dataType)]) for c, f in zip(columns, schema.fields)], names=schema.names)
+            rows.add(v, *asked_pieces(text))
+        yield rows.batch()
 
 
 class FactHistory:

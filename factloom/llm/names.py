@@ -9,6 +9,8 @@ import re
 import unicodedata
 from functools import cached_property, lru_cache
 
+import regex
+
 # Common English forms of address, articles, words of legal form, and words for kinds of organisations.
 TITLES = frozenset("dr prof professor rev reverend capt captain mr mrs ms miss sir dame lady lord fr hon col gen lt sgt".split())
 ARTICLES = frozenset("the an".split())
@@ -51,6 +53,8 @@ NICKNAMES = {
 }
 
 _WORD = re.compile(r"[^\W_]+")
+_INVISIBLE = regex.compile(r"\p{Cf}+")
+_MARKS = regex.compile(r"[\p{Mn}\p{Cf}\p{Me}]+")
 _CAMEL = re.compile(r"(?<=[a-zß-öø-ÿ0-9])(?=[A-ZÀ-ÖØ-Þ])")
 _SEPARATOR = re.compile(r"[\s_\-–/.,]")
 _EDGE = " _-–/.,;!\"'`()[]«»“”\n\t\u00a0"
@@ -107,8 +111,9 @@ class Value:
 
 def fold(text: str) -> str:
     """Lower case without accents and invisible characters."""
-    text = unicodedata.normalize("NFKD", text)
-    return "".join(c for c in text if unicodedata.category(c) not in ("Mn", "Cf", "Me")).lower()
+    if text.isascii():
+        return text.lower()
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text)).lower()
 
 
 def _date(tokens: list[str]) -> str | None:
@@ -133,19 +138,25 @@ def _org_word(token: str) -> bool:
 
 @lru_cache(maxsize=200_000)
 def parse(text: str) -> Value:
-    visible = "".join(c for c in text if unicodedata.category(c) != "Cf")
+    visible = _INVISIBLE.sub("", text)
     if not re.search(r"[\s_\-–/.,]", visible.strip(" _-–/.,;!\"'`()[]«»“”\n\t ")):
         visible = _CAMEL.sub(" ", visible)
-    words = [(fold(m.group()), m.end()) for m in _WORD.finditer(visible)]
-    words = [(w, e) for w, e in words if w]
-    cut = visible.find(",")
-    before = sum(1 for _, e in words if e <= cut) if cut > 0 else 0
-    if before == len(words):
-        before = 0
-    tokens = [w for w, _ in words]
+    if "," not in visible and visible.isascii():
+        tokens, before = _WORD.findall(visible.lower()), 0
+    else:
+        words = [(fold(m.group()), m.end()) for m in _WORD.finditer(visible)]
+        words = [(w, e) for w, e in words if w]
+        cut = visible.find(",")
+        before = sum(1 for _, e in words if e <= cut) if cut > 0 else 0
+        if before == len(words):
+            before = 0
+        tokens = [w for w, _ in words]
     while len(tokens) > 1 and (tokens[0] in TITLES or tokens[0] in ARTICLES):
         tokens.pop(0)
         before = max(0, before - 1)
+    joined = "".join(tokens)
+    if joined.isalpha():
+        return Value(joined, (), tuple(tokens), before, joined)
     digits = tuple(_DIGITS.findall(" ".join(tokens)))
     iso = _ISO.match("-".join(tokens)) if len(tokens) == 3 else None
     key = "".join(tokens)
