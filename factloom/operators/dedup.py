@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.text import agent_key, compare_key
 from factloom.operators.represent import fact_string
@@ -42,11 +42,13 @@ def check_duplicates(candidates: DataFrame, store: DataFrame, order: str = "row_
 
     In this order: the normalised key came earlier in the batch; the raw or the normalised key is in the store; the best
     similarity in ``similar`` (``order`` column, ``similarity``) reaches the threshold; else new. Raw and normalised keys are looked
-    up by two equi-joins, never by one join on a disjunction.
+    up by two equi-joins, never by one join on a disjunction. ``order`` is unique and not null.
     """
     keys = [f"k_{p}" for p in PARTS]
     rows = candidates.withColumns({k: c for k, c in zip(keys, (compare_key(F.coalesce(F.col(p), F.lit(""))) for p in PARTS))})
-    rows = rows.withColumn("__nth", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+    # copies are told from the first of their key by its place, which is found where the rows are; no task holds all copies
+    first = rows.groupBy(*keys).agg(F.min(order).alias("__first"))
+    rows = rows.join(first, keys)
     held = store_keys(store)
     raw = held.select(*PARTS).distinct().withColumn("__raw", F.lit(True))
     norm = held.select(*keys).distinct().withColumn("__norm", F.lit(True))
@@ -55,7 +57,7 @@ def check_duplicates(candidates: DataFrame, store: DataFrame, order: str = "row_
         rows = rows.withColumn("similarity", F.lit(None).cast("double"))
     else:
         rows = rows.join(similar.select(order, "similarity"), order, "left")
-    exact = (F.col("__nth") > 1) | F.coalesce("__raw", "__norm", F.lit(False))
+    exact = (F.col(order) > F.col("__first")) | F.coalesce("__raw", "__norm", F.lit(False))
     close = F.coalesce(F.col("similarity") >= threshold, F.lit(False))
     status = F.when(exact, "exact").when(close, "semantic").otherwise("new")
     return rows.select(*candidates.columns, status.alias("status"), F.when(~exact & close, F.col("similarity")).alias("similarity"))

@@ -2,26 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from factloom.session import spool
+from factloom.session import drop_spooled, spool
 
 PARTS = ("subject", "predicate", "object")
 MAX_DEPTH = 50
 
 
 def _ends(facts: DataFrame) -> DataFrame:
-    """(``end``, ``next``) for both directions of every fact, lower case, once each."""
+    """(``end``, ``next``) for both directions of every fact, lower case; parallel facts repeat, so that nothing is shuffled here."""
     s, o = F.lower("subject"), F.lower("object")
-    return facts.select(s.alias("end"), o.alias("next")).unionByName(facts.select(o.alias("end"), s.alias("next"))).filter("end is not null and next is not null").distinct()
+    return facts.select(s.alias("end"), o.alias("next")).unionByName(facts.select(o.alias("end"), s.alias("next"))).filter("end is not null and next is not null")
 
 
 def expand(facts: DataFrame, entity: str, depth: int = 2, limit: int | None = 100, repeats: bool = False) -> DataFrame:
     """Facts within ``depth`` hops of an entity, case ignored, with ``hop``, ordered by hop and parts, the first ``limit``.
 
     Each fact comes once with the first hop that reaches it; ``repeats`` returns it for every hop whose frontier touches it.
-    The frontier meets subjects and objects in two equi-joins. Depths up to 3 unroll into one plan; deeper ones write the frontier
-    of each hop to the shared folder.
+    The frontier meets subjects and objects in two equi-joins, and only what it reaches is made distinct. Depths up to 3 unroll into
+    one plan; deeper ones write the frontier of each hop to the shared folder.
     """
     if not 1 <= depth <= MAX_DEPTH:
         raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
@@ -54,12 +54,12 @@ def unique_entities(facts: DataFrame) -> DataFrame:
     return facts.select(F.col("subject").alias("entity")).unionByName(facts.select(F.col("object").alias("entity"))).filter("entity is not null").distinct()
 
 
-def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 15) -> DataFrame:
+def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int | None = None) -> DataFrame:
     """One row (``length``, ``path``): the shortest undirected path between two nodes over any edge (``src``, ``dst``).
 
-    Breadth first, level by level; each node keeps its smallest parent, so the path is deterministic. Levels are written to the
-    shared folder; only whether the goal is reached comes to the driver. No row if there is no path within ``max_depth``; the path
-    from a node to itself has length 0.
+    Breadth first, level by level, until the goal or the end of its component is reached; each node keeps its smallest parent, so the
+    path is deterministic. Levels are written to the shared folder; only whether the goal is reached comes to the driver. No row if
+    there is no path, or none within ``max_depth`` where one is given; the path from a node to itself has length 0.
     """
     spark: SparkSession = edges.sparkSession
     both = spool(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).filter("src is not null and dst is not null").distinct(), "adjacency")
@@ -67,8 +67,9 @@ def shortest_path(edges: DataFrame, start: str, goal: str, max_depth: int = 15)
     if start == goal:
         known = both.filter(F.col("src") == start).limit(1)
         return known.select(F.lit(0).alias("length"), F.array(F.lit(start)).alias("path"))
-    seen = level.select("node")
-    for depth in range(1, max_depth + 1):
+    seen, depth = level.select("node"), 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         step = level.join(both, level["node"] == both["src"]).select(F.col("dst").alias("node"), "path")
         step = step.join(seen, "node", "left_anti").groupBy("node").agg(F.min("path").alias("path"))
         level = spool(step.select("node", F.concat("path", F.array("node")).alias("path")), "level")
@@ -114,12 +115,11 @@ def scaled_degrees(degree: DataFrame, base: float = 300.0) -> DataFrame:
 def labelled_nodes(degree: DataFrame, few: int = 30, keep: int = 15) -> DataFrame:
     """(``node``, ``label``) of the nodes worth a label: all of up to ``few``, else those at or above the upper median degree.
 
-    The median is found on the counts per degree, whose number is small however many nodes there are.
+    The median is found by a running sum over the counts per degree, of which there are at most about the root of twice the edges.
     """
     per = degree.groupBy("degree").agg(F.count(F.lit(1)).alias("n"))
-    upto = per.alias("a").join(per.alias("b"), F.col("b.degree") <= F.col("a.degree")).groupBy("a.degree").agg(F.sum("b.n").alias("upto"))
-    total = per.agg(F.sum("n").alias("nodes"))
-    cut = upto.crossJoin(F.broadcast(total)).filter(F.col("upto") > F.floor(F.col("nodes") / 2)).agg(F.min("degree").alias("median"), F.first("nodes").alias("nodes"))
+    running = per.select("degree", F.sum("n").over(Window.orderBy("degree")).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("nodes"))
+    cut = running.filter(F.col("upto") > F.floor(F.col("nodes") / 2)).agg(F.min("degree").alias("median"), F.first("nodes").alias("nodes"))
     label = F.when(F.length("node") > keep, F.concat(F.substring("node", 1, keep), F.lit("..."))).otherwise(F.col("node"))
     return degree.crossJoin(F.broadcast(cut)).filter((F.col("nodes") <= few) | (F.col("degree") >= F.col("median"))).select("node", label.alias("label"))
 
@@ -139,35 +139,37 @@ def components(edges: DataFrame, src: str = "subject", dst: str = "object") -> D
         far = labels.select(F.col("node").alias("next"), F.col("component").alias("far"))
         fresh = spool(stepped.join(far, "next", "left").select("node", "component", F.coalesce(F.least("next", "far"), "next").alias("next")), "labels")
         if fresh.filter("component <> next").isEmpty():
+            drop_spooled(both)
             return fresh.select("node", "component")
+        drop_spooled(labels)
         labels = fresh.select("node", F.col("next").alias("component"))
 
 
-def average_path_length(edges: DataFrame, src: str = "subject", dst: str = "object", max_nodes: int = 2_000) -> DataFrame:
+def average_path_length(edges: DataFrame, src: str = "subject", dst: str = "object", block: int = 2_000) -> DataFrame:
     """One row: the mean shortest distance over all ordered pairs of a connected graph; null if it is not connected.
 
-    All sources at once, level by level. The number of pairs is the square of the number of nodes, so more than ``max_nodes``
-    nodes are refused.
+    Breadth first from about ``block`` sources at once, level by level, so what is held at a time is at most ``block`` times the
+    nodes; only the number of pairs of each level reaches the driver. The result is exact, the work grows with the square of the nodes.
     """
     pairs = edges.select(F.col(src).alias("a"), F.col(dst).alias("b")).filter("a is not null and b is not null")
     both = spool(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "pairs")
     nodes = both.select(F.col("a").alias("node")).distinct()
     n = nodes.count()
-    if n > max_nodes:
-        raise ValueError(f"{n} nodes; distances of all pairs are computed up to {max_nodes}")
-    level = nodes.select(F.col("node").alias("from"), F.col("node").alias("to"))
-    seen, parts, distance = level, [], 0
-    while True:
-        distance += 1
-        step = level.join(both, level["to"] == both["a"]).select("from", F.col("b").alias("to")).distinct()
-        level = spool(step.join(seen, ["from", "to"], "left_anti"), "level")
-        found = level.count()
-        if not found:
-            break
-        parts.append((distance, found))
-        seen = spool(seen.unionByName(level), "seen")
-    total = sum(f for _, f in parts)
-    mean = sum(d * f for d, f in parts) / total if n > 1 and total == n * (n - 1) else None
+    blocks = -(-n // block)
+    total = steps = 0
+    for k in range(blocks):
+        level = nodes.filter(F.pmod(F.xxhash64("node"), F.lit(blocks)) == k).select(F.col("node").alias("from"), F.col("node").alias("to"))
+        seen, distance = level, 0
+        while True:
+            distance += 1
+            step = level.join(both, level["to"] == both["a"]).select("from", F.col("b").alias("to")).distinct()
+            level = spool(step.join(seen, ["from", "to"], "left_anti"), "level")
+            found = level.count()
+            if not found:
+                break
+            total, steps = total + found, steps + distance * found
+            seen = seen.unionByName(level)
+    mean = steps / total if n > 1 and total == n * (n - 1) else None
     return edges.sparkSession.createDataFrame([(mean,)], "average_length double")
 
 

@@ -94,7 +94,7 @@ def coactors(g: MovieGraph, actor: str) -> DataFrame:
     return others.join(g.person, "person_id").join(g.movie, "movie_id").select(F.col("name").alias("coactor"), F.col("title").alias("movie")).distinct()
 
 
-def path_between(g: MovieGraph, first: str, second: str, max_depth: int = 15) -> DataFrame:
+def path_between(g: MovieGraph, first: str, second: str, max_depth: int | None = None) -> DataFrame:
     """The shortest path between two persons over movies they acted in or directed."""
     edges = g.acted_in.select("person_id", "movie_id").unionByName(g.directed.select("person_id", "movie_id")).join(g.person, "person_id").join(g.movie, "movie_id")
     return shortest_path(edges.select(F.concat(F.lit("p:"), "name").alias("src"), F.concat(F.lit("m:"), "title").alias("dst")), f"p:{first}", f"p:{second}", max_depth)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 #: Query vectors are sent to the executors in blocks of at most this many numbers (8 bytes each).
 BLOCK_NUMBERS = 4_000_000
+MEASURES = ("ip", "cosine", "scaled")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,12 +39,12 @@ def _query_blocks(queries: DataFrame, id_col: str, vector_col: str) -> Iterator[
 def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_id", item_id: str = "vec_id", query_vector: str = "embedding", item_vector: str = "embedding", measure: str = "ip") -> DataFrame:
     """(``query_id``, ``item_id``, ``score``, ``rank``): the ``k`` best items of every query, rank from 0, ties by item id.
 
-    ``measure`` is ``ip`` (inner product) or ``cosine``. A block of query vectors of bounded size is sent to all executors; every
-    batch of items is one matrix product there and leaves at most ``k`` items a query, so what is shuffled is queries x k x batches.
+    ``measure`` is ``ip`` (inner product), ``cosine`` or ``scaled`` ((1 + cosine)/2, from 0 to 1). A block of query vectors of bounded
+    size is sent to all executors; every batch of items is one matrix product there, and a task leaves ``k`` items a query.
     Scores are rounded to 6 decimals. Null vectors never match; an empty side gives no rows.
     """
-    if measure not in ("ip", "cosine"):
-        raise ValueError(f"unknown measure {measure!r}; known are ip and cosine")
+    if measure not in MEASURES:
+        raise ValueError(f"unknown measure {measure!r}; known are {', '.join(MEASURES)}")
     spark = items.sparkSession
     schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType), T.StructField(item_id, items.schema[item_id].dataType), T.StructField("score", T.DoubleType())])
     rows = items.select(item_id, item_vector).filter(F.col(item_vector).isNotNull())
@@ -62,16 +63,24 @@ def top_k(queries: DataFrame, items: DataFrame, k: int, query_id: str = "query_i
 def _best_of(shared, k: int, query_id: str, item_id: str, item_vector: str, measure: str):
     def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, queries = shared.value
+        held, items = np.zeros((len(ids), 0)), None
         for b in batches:
             if not len(b):
                 continue
             matrix = np.stack(b[item_vector].to_numpy()).astype(np.float64)
             scores = queries @ matrix.T
-            if measure == "cosine":
+            if measure != "ip":
                 scores = scores / (np.linalg.norm(queries, axis=1)[:, None] * np.linalg.norm(matrix, axis=1)[None, :] + 1e-8)
-            scores = np.round(scores, 6)
-            order = np.lexsort((np.broadcast_to(b[item_id].to_numpy(), scores.shape), -scores), axis=1)[:, :k]
-            yield pd.DataFrame({query_id: np.repeat(ids, order.shape[1]), item_id: b[item_id].to_numpy()[order.ravel()], "score": np.take_along_axis(scores, order, axis=1).ravel()})
+            if measure == "scaled":
+                scores = (1.0 + scores) / 2.0
+            names = np.broadcast_to(b[item_id].to_numpy(), scores.shape)
+            # the best so far stay beside the batch, so a task leaves k items a query however many batches it reads
+            held = np.concatenate([held, np.round(scores, 6)], axis=1)
+            items = names if items is None else np.concatenate([items, names], axis=1)
+            order = np.lexsort((items, -held), axis=1)[:, :k]
+            held, items = np.take_along_axis(held, order, axis=1), np.take_along_axis(items, order, axis=1)
+        if items is not None:
+            yield pd.DataFrame({query_id: np.repeat(ids, held.shape[1]), item_id: items.ravel(), "score": held.ravel()})
 
     return best
 
