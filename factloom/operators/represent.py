@@ -34,7 +34,8 @@ def fact_text(facts: DataFrame) -> DataFrame:
 def entity_context(facts: DataFrame, order: str = "row_id") -> DataFrame:
     """One row per subject, compared exactly: its facts in the order of ``order`` as ``text``, their number and the facts.
 
-    A subject's facts are put together by a grouped, map-side combined aggregate; null subjects form no entity.
+    The whole context of a subject is one row, so one task holds it; :func:`entity_parts` deals it out where a subject may have
+    very many facts. Null subjects form no entity.
     """
     rows = facts.filter(F.col("subject").isNotNull())
     fact = F.struct(F.col(order).alias("order"), F.concat(humanize(_filled("predicate")), F.lit(": "), humanize(_filled("object"))).alias("fact"), fact_string().alias("document"))
@@ -47,6 +48,22 @@ def entity_context(facts: DataFrame, order: str = "row_id") -> DataFrame:
     )
 
 
+def entity_parts(facts: DataFrame, order: str = "row_id", most: int = 1_000) -> DataFrame:
+    """(``part_id``, ``entity``, ``part``, ``text``, ``fact_count``, ``facts``): every subject's facts in parts of about ``most``.
+
+    A subject of up to ``most`` facts is one part and reads like :func:`entity_context`. The facts of a larger one are dealt out to
+    parts by a hash of their place, so no task holds all of them; within a part they are in the order of ``order``. No fact is lost.
+    """
+    rows = facts.filter(F.col("subject").isNotNull())
+    sizes = rows.groupBy("subject").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most).select("subject", F.ceil(F.col("n") / most).alias("__parts"))
+    part = F.when(F.col("__parts").isNull(), 0).otherwise(F.pmod(F.xxhash64(order), F.col("__parts"))).cast("long")
+    fact = F.struct(F.col(order).alias("order"), "subject", "predicate", "object")
+    dealt = rows.join(sizes, "subject", "left").groupBy(F.col("subject").alias("entity"), part.alias("part")).agg(F.array_sort(F.collect_list(fact)).alias("facts"))
+    said = F.transform("facts", lambda f: F.concat(humanize(F.coalesce(f["predicate"], F.lit(""))), F.lit(": "), humanize(F.coalesce(f["object"], F.lit("")))))
+    text = F.concat(humanize(F.col("entity")), F.lit(": "), F.array_join(said, ", "))
+    return dealt.select(F.concat("entity", F.lit("#"), F.col("part").cast("string")).alias("part_id"), "entity", "part", text.alias("text"), F.size("facts").alias("fact_count"), "facts")
+
+
 def represent(facts: DataFrame, mode: str = "triplet_text", order: str = "row_id") -> DataFrame:
     """Embeddable texts of the facts in a mode of :data:`MODES`."""
     if mode == "triplet_text":

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.operators.dedup import check_duplicates
 from factloom.operators.filters import at_least, complete, in_schema
-from factloom.operators.represent import PARTS, entity_context, fact_text, format_results, with_empty_context
+from factloom.operators.represent import PARTS, entity_parts, fact_text, format_results, with_empty_context
 from factloom.operators.stats import relation_relevance
 from factloom.operators.vector import top_k
 from factloom.plans import prompts
@@ -35,6 +35,20 @@ def build_index(facts: DataFrame, embedder: Embedder) -> DataFrame:
     return embed_column(fact_text(facts), embedder)
 
 
+def stored_index(store: DataFrame, embedder: Embedder) -> DataFrame:
+    """The complete facts of a store with their vectors; only facts that were stored without one are embedded."""
+    rows = complete(store)
+    if "embedding" not in rows.columns:
+        return embed_column(fact_text(rows), embedder)
+    bare = rows.filter("embedding is null").drop("embedding")
+    return fact_text(rows.filter("embedding is not null")).unionByName(embed_column(fact_text(bare), embedder), allowMissingColumns=True)
+
+
+def index_facts(store: FactStore, facts: DataFrame, embedder: Embedder, source: str = "original") -> None:
+    """Write facts (``row_id`` and parts) with their vectors; searches then read the vectors that are stored."""
+    store.upsert(build_index(complete(facts), embedder).select("row_id", *PARTS, "document", "embedding").withColumn("source", F.lit(source)))
+
+
 def retrieve(questions: DataFrame, index: DataFrame, embedder: Embedder, k: int = 5, min_score: float = 0.0, instruct: bool = True) -> DataFrame:
     """(``query_id``, parts, ``score``, ``rank``) of the best facts of every question; one search for all questions."""
     asked = embed_column(questions, embedder, "query", instruction=QUERY_INSTRUCTION if instruct else "")
@@ -43,17 +57,18 @@ def retrieve(questions: DataFrame, index: DataFrame, embedder: Embedder, k: int
 
 
 def build_entity_index(facts: DataFrame, embedder: Embedder, order: str = "row_id") -> DataFrame:
-    """One searchable row per entity: its context, embedding and facts as structs, so that nothing is parsed from text later."""
-    context = entity_context(facts, order).select("entity", "text")
-    held = facts.filter("subject is not null").groupBy(F.col("subject").alias("entity")).agg(F.array_sort(F.collect_list(F.struct(order, "subject", "predicate", "object"))).alias("facts"))
-    return embed_column(context.join(held, "entity"), embedder)
+    """One searchable row per part of an entity's context: text, embedding and facts as structs, so that nothing is parsed from text later.
+
+    An entity of many facts has several parts of bounded size, so none is put together in one task.
+    """
+    return embed_column(entity_parts(facts, order).select("part_id", "entity", "text", "facts"), embedder)
 
 
 def retrieve_entities(questions: DataFrame, index: DataFrame, embedder: Embedder, k: int = 5, min_score: float = 0.0) -> DataFrame:
-    """(``query_id``, parts, ``score``, ``rank``, ``nth``): all facts of the best entities, each with its entity's score."""
+    """(``query_id``, parts, ``score``, ``rank``, ``nth``): the facts of the best entities' parts, each with its part's score."""
     asked = embed_column(questions, embedder, "query", instruction=QUERY_INSTRUCTION)
-    hits = at_least(top_k(asked.select("query_id", "embedding"), index, k, item_id="entity"), min_score)
-    rows = hits.join(index.select("entity", "facts"), "entity").select("query_id", "score", "rank", F.posexplode("facts").alias("nth", "f"))
+    hits = at_least(top_k(asked.select("query_id", "embedding"), index, k, item_id="part_id"), min_score)
+    rows = hits.join(index.select("part_id", "facts"), "part_id").select("query_id", "score", "rank", F.posexplode("facts").alias("nth", "f"))
     return rows.select("query_id", "f.subject", "f.predicate", "f.object", "score", "rank", "nth")
 
 
@@ -62,7 +77,7 @@ def add_new_facts(store: FactStore, proposals: DataFrame, embedder: Embedder, th
 
     Stored facts without a vector are embedded for the comparison. The batch's own earlier facts count for exact duplicates only.
     """
-    held = embed_column(fact_text(complete(store.read().select("row_id", *PARTS))), embedder)
+    held = stored_index(store.read(), embedder)
     fresh = embed_column(fact_text(proposals.select("row_id", *PARTS)), embedder)
     best = top_k(fresh.select("row_id", "embedding"), held.select(F.col("row_id").alias("vec_id"), "embedding"), 1, query_id="row_id").select("row_id", F.col("score").alias("similarity"))
     new = check_duplicates(proposals.select("row_id", *PARTS), held, similar=best, threshold=threshold).filter("status = 'new'")
@@ -120,8 +135,8 @@ class Generator:
         rows = retrieve(asked, self.index, self.embedder, k, min_score).orderBy("rank").collect()
         return [((r.subject, r.predicate, r.object), r.score) for r in rows]
 
-    def answer(self, question: str, k: int = 10, min_score: float = 0.0, expand: bool = False, temperature: float = 0.1, max_tokens: int = 256) -> Answer:
-        found = self.retrieve_only(question, k, min_score)
+    def answer(self, question: str, k: int = 10, min_score: float = 0.0, expand: bool = False, temperature: float = 0.1, max_tokens: int = 256, found: list[tuple[Fact, float]] | None = None) -> Answer:
+        found = self.retrieve_only(question, k, min_score) if found is None else found
         facts = [f for f, _ in found]
         added = expand_facts(question, facts, self.schema, self.model, self.index.sparkSession) if expand and facts else []
         context = "\n".join(f"({', '.join(f)})" for f in facts)
@@ -132,5 +147,18 @@ class Generator:
         persisted = self.persist(added) if self.persist and added else 0
         return Answer(question, reply, facts, [s for _, s in found] + [0.5] * len(added), context, prompt, added, persisted)
 
-    def answer_all(self, questions: list[str], **options) -> list[Answer]:
-        return [self.answer(q, **options) for q in questions]
+    def answer_all(self, questions: list[str], k: int = 10, min_score: float = 0.0, **options) -> list[Answer]:
+        """Answers in the order of the questions; one search serves all of them."""
+        asked = self.index.sparkSession.createDataFrame(list(enumerate(questions)), "query_id long, query string")
+        found: dict[int, list[tuple[Fact, float]]] = {}
+        for r in retrieve(asked, self.index, self.embedder, k, min_score).orderBy("query_id", "rank").collect() if questions else ():
+            found.setdefault(r.query_id, []).append(((r.subject, r.predicate, r.object), r.score))
+        return [self.answer(q, found=found.get(n, []), **options) for n, q in enumerate(questions)]
+
+    def save(self, answers: list[Answer], path: str) -> dict[str, int]:
+        """Write answers as JSON lines; how many there are and how many facts they stored together."""
+        spark = self.index.sparkSession
+        rows = [(a.query, a.answer, [list(f) for f in a.facts], a.scores, [list(f) for f in a.expanded], a.persisted) for a in answers]
+        schema = "query string, answer string, facts array<array<string>>, scores array<double>, expanded array<array<string>>, persisted long"
+        spark.createDataFrame(rows, schema).write.mode("overwrite").json(path)
+        return {"answers": len(answers), "persisted": sum(a.persisted for a in answers)}

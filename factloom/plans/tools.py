@@ -10,7 +10,7 @@ from factloom.operators.filters import entity_lookup
 from factloom.operators.graph import expand
 from factloom.plans import cypher, rendering
 from factloom.plans.models import ChatModel, Embedder
-from factloom.plans.retrieval import build_index, expand_facts, retrieve
+from factloom.plans.retrieval import expand_facts, retrieve, stored_index
 from factloom.plans.validation import Checked, Validation, validate
 from factloom.sources.files import facts_in_text
 from factloom.sources.store import FactStore
@@ -27,6 +27,7 @@ def _tool(name: str, description: str, required: list[str], **properties: tuple[
     return {"name": name, "description": description, "parameters": {"type": "object", "properties": {k: {"type": t, "description": d} for k, (t, d) in properties.items()}, "required": required}}
 
 
+# Names of the tools and of their parameters, which calls refer to.
 TOOLS = [
     _tool("search_knowledge_graph", "Facts similar to a question.", ["query"], query=("string", "the question"), top_k=("integer", "1 to 20, usually 5")),
     _tool("query_entity", "Facts about an entity.", ["entity"], entity=("string", "its name"), relationship=("string", "only this relation")),
@@ -60,7 +61,7 @@ class Toolbox:
 
     def _search_knowledge_graph(self, a: dict) -> str:
         asked = self.spark.createDataFrame([("q", str(a["query"]))], "query_id string, query string")
-        hits = retrieve(asked, build_index(self._facts(), self.embedder), self.embedder, clamp(a.get("top_k", 5), 1, 20, 5))
+        hits = retrieve(asked, stored_index(self.store.read(), self.embedder), self.embedder, clamp(a.get("top_k", 5), 1, 20, 5))
         return rendering.facts_json(a["query"], [r.asDict() for r in hits.orderBy("rank").collect()])
 
     def _query_entity(self, a: dict) -> str:

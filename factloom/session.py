@@ -62,6 +62,44 @@ def shared_folder(spark: SparkSession) -> str:
     return _OWN_FOLDERS[0]
 
 
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, null if there is none; on any file system Spark can reach."""
+    target, files = _file(spark, path)
+    if not files.exists(target):
+        return None
+    stream = files.open(target)
+    try:
+        return str(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Replace a small file: a draft is written whole and then takes its name, so a reader never sees half of it."""
+    target, files = _file(spark, path)
+    draft, _ = _file(spark, f"{path}.{uuid.uuid4().hex}")
+    stream = files.create(draft, True)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    over = spark.sparkContext._gateway.new_array(hadoop.Options.Rename, 1)
+    over[0] = hadoop.Options.Rename.OVERWRITE
+    context = hadoop.FileContext.getFileContext(files.makeQualified(target).toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(files.makeQualified(draft), files.makeQualified(target), over)
+
+
+def delete_folder(spark: SparkSession, path: str) -> None:
+    target, files = _file(spark, path)
+    files.delete(target, True)
+
+
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def spool(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -76,7 +114,5 @@ def spool(df: DataFrame, name: str = "stage") -> DataFrame:
 def drop_spooled(df: DataFrame) -> None:
     """Delete the files of a DataFrame that ``spool`` returned, once nothing reads it any more."""
     spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for file in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+        delete_folder(spark, file.rsplit("/", 1)[0])

@@ -125,3 +125,31 @@ def test_store_round_trip(spark, tmp_path):
     assert tuple(report.first()) == (1, 1) and missing_after(facts(spark, ("A ", "p", "b")), target).count() == 0
     store.delete_all()
     assert store.size() == 0
+
+
+def test_store_writes_only_what_is_new(spark, tmp_path):
+    store = FactStore(spark, str(tmp_path / "s"))
+    rows = lambda *r: spark.createDataFrame(list(r), "row_id long, subject string, predicate string, object string, status string")
+    store.upsert(rows((1, "a", "p", "b", "old"), (2, "c", "p", "d", "old")))
+    before = {f for f in (tmp_path / "s").rglob("*.parquet")}
+    store.upsert(rows((0, "a", "p", "b", "new")))
+    store.append(rows((5, "a", "p", "b", "raw"), (6, None, "p", "b", "raw")))
+    added = [f for f in (tmp_path / "s").rglob("*.parquet") if f not in before]
+    assert before <= {f for f in (tmp_path / "s").rglob("*.parquet")} and sum(spark.read.parquet(str(f)).count() for f in added) == 3
+    expected = [("a", "new"), ("a", "raw"), ("c", "old"), (None, "raw")]
+    assert sorted(((r.subject, r.status) for r in store.read().collect()), key=str) == sorted(expected, key=str)
+    store.compact()
+    assert sorted(((r.subject, r.status) for r in store.read().collect()), key=str) == sorted(expected, key=str)
+    assert len(list((tmp_path / "s").glob("part-*"))) == 1
+    store.delete_all()
+    assert store.size() == 0 and not list((tmp_path / "s").glob("part-*"))
+
+
+def test_parts_of_large_entities(spark):
+    rows = [(k, "hot", "p", f"o{k}") for k in range(50)] + [(100, "cold", "is_a", "x_y"), (101, None, "p", "o"), (102, "cold", None, "z")]
+    facts = spark.createDataFrame(rows, "row_id long, subject string, predicate string, object string")
+    parts = represent.entity_parts(facts, most=10).collect()
+    hot = [r for r in parts if r.entity == "hot"]
+    assert len(hot) > 1 and sorted(f.order for r in hot for f in r.facts) == list(range(50)) and max(r.fact_count for r in hot) < 25
+    assert [(r.part_id, r.text) for r in parts if r.entity == "cold"] == [("cold#0", "cold: is a: x y, : z")]
+    assert represent.entity_parts(facts.limit(0)).count() == 0

@@ -72,8 +72,15 @@ def test_average_length(spark):
     assert graph.average_path_length(line).first()[0] == pytest.approx(4 / 3)
     split = spark.createDataFrame([("a", "b"), ("c", "d")], "subject string, object string")
     assert graph.average_path_length(split).first()[0] is None
-    with pytest.raises(ValueError):
-        graph.average_path_length(line, max_nodes=2)
+    # more nodes than a block has are done in blocks, with the same result
+    assert graph.average_path_length(line, block=1).first()[0] == pytest.approx(4 / 3)
+
+
+def test_long_paths_are_found(spark):
+    chain = spark.createDataFrame([(f"n{k}", f"n{k + 1}") for k in range(18)], "src string, dst string")
+    row = graph.shortest_path(chain, "n0", "n18").first()
+    assert row.length == 18 and row.path == [f"n{k}" for k in range(19)]
+    assert graph.shortest_path(chain, "n0", "n18", max_depth=17).count() == 0 and graph.shortest_path(chain, "n0", "nowhere").count() == 0
 
 
 def test_vectors_like_numpy(spark):
