@@ -144,7 +144,7 @@ def slip_pieces(word: str) -> tuple[str, ...]:
     for least in (n - 1, n):
         if least >= 8:
             half = (least - 1) // 2
-            out += ["<" + word[:half], word[n - half :] + ">"]
+            out += [f"<{least}{word[:half]}", f">{least}{word[n - half :]}"]
     return tuple(dict.fromkeys(out))
 
 
@@ -172,41 +172,48 @@ def _with_gap(value: Value, length: int) -> list[str]:
 
 
 @lru_cache(maxsize=200_000)
-def _context(word: str) -> frozenset[str]:
-    """What is left of a word by a slip: its first letter or, if the slip is there, its last two. An acronym shows all its letters."""
-    out = {word[0]}
-    if len(word) >= 3:
-        out.add("~" + word[-2:])
+def _context(word: str, asking: bool) -> frozenset[str]:
+    """What a slip leaves of a word: its first letter or, if the slip is there, its end from the third letter on.
+
+    The asking side asks for the ends of words as long, one letter longer and one shorter. An acronym shows all its letters.
+    """
+    out = {word[0]} | {"~" + word[k:] for k in ((1, 2, 3) if asking else (2,)) if len(word) > k}
     return frozenset(out | set(word) if len(word) <= 4 else out)
 
 
 @lru_cache(maxsize=200_000)
-def _given_context(given: str) -> frozenset[str]:
+def _given_context(given: str, asking: bool) -> frozenset[str]:
     """As :func:`_context`, of a given name and all names it may be short for."""
     names = {given, *NICKNAMES.get(given, "").split()}
-    return frozenset({n[0] for n in names} | {"~" + n[-2:] for n in names if len(n) >= 3})
+    return frozenset({n[0] for n in names} | {c for n in names for c in _context(n, asking) if c[0] == "~"})
 
 
-def _word_pieces(value: Value) -> Iterator[tuple[str, str]]:
+def _word_pieces(value: Value, asking: bool = False) -> Iterator[tuple[str, str]]:
     """(word, context) of the words by which a name is found, whatever its other words look like."""
     if value.digits:
         return
     if value.is_name and not value.is_org:
         for surname, given in orders(value):
             if given:
-                for c in _given_context(given[0]):
+                for c in _given_context(given[0], asking):
                     yield surname, "p" + c
-    words = value.content
+    words, n = value.content, len(value.content)
     kind = "g" if value.is_org else "n"
+    # of three words or more two must agree with others beside the one they are found by, so one word for a kind of organisation
+    # need not be posted for those, but for names of two words
+    usual = min((w for w in words if w in ORG_WORDS), default=None) if n >= 3 else None
     for k, word in enumerate(words):
         if len(word) < 4:
             continue
-        if len(words) == 1:
+        if n == 1:
             yield word, kind + "1"
-        elif len(words) < MANY:
-            for c in set().union(*(_context(o) for o in words[:k] + words[k + 1 :])):
-                yield word, kind + c
-        if len(words) >= MANY - APART:
+        elif n < MANY:
+            for other in words[:k] + words[k + 1 :]:
+                marks = ("", "usual ") if asking and n == 2 else ("usual ",) if other == usual and not asking else ("",)
+                for c in _context(other, asking):
+                    for mark in marks:
+                        yield word, kind + mark + c
+        if n >= MANY - APART:
             yield word, kind + "many"
 
 
@@ -240,13 +247,11 @@ def asked_pieces(text: str) -> tuple[frozenset[str], frozenset[tuple[str, str]]]
         if length >= 7 and n >= 7:
             wholes.update(_with_gap(value, length))
     words = set()
-    for word, context in _word_pieces(value):
-        if context[0] == "n":
-            words.add((word, "g" + context[1:]))
-        else:
+    for word, context in _word_pieces(value, True):
+        if context[0] == "p":
             words.add((word, context))
-            if context[0] == "g":
-                words.add((word, "n" + context[1:]))
+        else:
+            words.update((word, kind + context[1:]) for kind in ("gn" if context[0] == "g" else "g"))
     return frozenset(wholes), frozenset(words)
 
 

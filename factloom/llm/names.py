@@ -303,7 +303,9 @@ def same_value(a: str, b: str, fuzzy: bool = True) -> int:
     org = va.is_org or vb.is_org
     if not fuzzy and not org:
         return 0
-    if min(len(va.key), len(vb.key)) >= 7 and within_one(va.key, vb.key):
+    ka, kb = va.key, vb.key
+    # one slip in seven letters or more leaves the first three or the last three alike
+    if (ka[:3] == kb[:3] or ka[-3:] == kb[-3:]) and -2 < len(ka) - len(kb) < 2 and min(len(ka), len(kb)) >= 7 and within_one(ka, kb):
         return 2
     if va.digits:
         return 0
