@@ -22,8 +22,8 @@ from factloom.session import spool
 
 #: A block of more records than this is compared in so many parts, by more than one task.
 HOT = 1000
-#: Rounds of merging after which the operator gives up with an error; each round merges at least one pair, usually most.
-MAX_ROUNDS = 50
+#: Records that one task cuts into blocks.
+AT_ONCE = 5_000
 
 
 @lru_cache(maxsize=100_000)
@@ -36,27 +36,32 @@ def _initials(given: str) -> set[str]:
     return {given[0], *(f[0] for f in NICKNAMES.get(given, "").split())}
 
 
-def block_keys(name: str, kind: str | None) -> set[str]:
-    """The blocks of a spelling: a word, slips included, with the initial of another word, however common the word is."""
+def block_keys(name: str, kind: str | None) -> set[tuple[str, str]]:
+    """The blocks of a spelling, as (block, word): a word with the initial of another word, however common the word is.
+
+    Records with the same word share the block of the word itself, whose word is given as empty; those with words one slip apart share
+    a block of what a slip leaves, in which only records with different words meet, so that no pair comes once for every slip.
+    """
     value = parse(name)
-    keys: set[str] = set()
+    keys: set[tuple[str, str]] = set()
     if not value.tokens:
         return keys
     if kind != "organisation" and not value.is_org:
         for surname, given in orders(value):
             if not given:
                 continue
-            keys |= {f"p|{s}|{i}" for s in _slips(surname) for i in _initials(given[0])}
+            for i in _initials(given[0]):
+                keys |= {(f"P|{surname}|{i}", "")} | {(f"p|{s}|{i}", surname) for s in _slips(surname)}
             if len(given[0]) > 3:
-                keys.add(f"e|{surname}|{given[0][-3:]}")
+                keys.add((f"e|{surname}|{given[0][-3:]}", ""))
     if kind != "person" or value.is_org:
         words = [t for t in value.tokens if t not in FUNCTION_WORDS and t not in LEGAL_FORMS]
         stems = [w for w in words if len(w) >= 4 and w not in ORG_WORDS]
         for w in stems:
-            initials = {x for o in words if o is not w for x in (o[0], *(o if len(o) <= 4 else ()))}
-            keys |= {f"o|{s}|{i}" for s in _slips(w) for i in initials}
+            for i in {x for o in words if o is not w for x in (o[0], *(o if len(o) <= 4 else ()))}:
+                keys |= {(f"O|{w}|{i}", "")} | {(f"o|{s}|{i}", w) for s in _slips(w)}
         if not stems or len(words) == 1:
-            keys |= {f"r|{s}" for s in slip_pieces("".join(sorted(words)))}
+            keys |= {(f"r|{s}", "") for s in slip_pieces("".join(sorted(words)))}
     return keys
 
 
@@ -127,18 +132,26 @@ def _pairs(records: DataFrame, only_changed: bool) -> DataFrame:
 
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(xxhash.xxh64_intdigest(k.encode()) - (1 << 63), c, bool(g)) for c, kind, names, g in zip(b["cid"], b["kind"], b["names"], b["grew"]) for k in set().union(*(block_keys(n, kind) for n in names))]
-            yield pd.DataFrame(rows, columns=["key", "cid", "grew"]).astype({"key": "int64", "cid": "int64", "grew": "bool"})
-
-    postings = spool(records.select("cid", "kind", "names", "grew").mapInPandas(keys, "key long, cid long, grew boolean"), "postings")
+            rows = [
+                (_hash(k), c, bool(g), _hash(w) if w else 0)
+                for c, kind, names, g in zip(b["cid"], b["kind"], b["names"], b["grew"])
+                for k, w in set().union(*(block_keys(n, kind) for n in names))
+            ]
+            yield pd.DataFrame(rows, columns=["key", "cid", "grew", "word"]).astype({"key": "int64", "cid": "int64", "grew": "bool", "word": "int64"})
+
+    postings = spool(_spread(records.select("cid", "kind", "names", "grew")).mapInPandas(keys, "key long, cid long, grew boolean, word long"), "postings")
     hot = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).alias("parts"))
     dealt = postings.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    left = dealt.select("key", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.col("cid").alias("a"), F.col("grew").alias("ga"))
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"), F.col("grew").alias("gb"))
-    pairs = left.join(right, ["key", "part"]).filter("a < b")
+    left = dealt.select("key", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.col("cid").alias("a"), F.col("grew").alias("ga"), F.col("word").alias("wa"))
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"), F.col("grew").alias("gb"), F.col("word").alias("wb"))
+    pairs = left.join(right, ["key", "part"]).filter("a < b and (wa = 0 or wa <> wb)")
     return (pairs.filter("ga or gb") if only_changed else pairs).select("a", "b").distinct()
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) - (1 << 63)
+
+
 def _levels(pairs: DataFrame, records: DataFrame) -> DataFrame:
     """(a, b, level, open_a, open_b) of the pairs that match at all."""
 
@@ -191,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = spool(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = spool(edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
-    for _ in range(MAX_ROUNDS):
+    while True:
         near = edges.join(labels, edges["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
         stepped = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "near").alias("next"))
         jump = labels.select(F.col("node").alias("next"), F.col("root").alias("far"))
@@ -200,12 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
         if fresh.filter("root <> next").isEmpty():
             return fresh.select("node", "root")
         labels = fresh.select("node", F.col("next").alias("root"))
-    raise RuntimeError("components did not settle")
 
 
 def _spread(records: DataFrame) -> DataFrame:
-    """Records in enough files for all cores: blocking works much longer on a record than reading it takes."""
-    return records.repartition(max(8, 2 * records.sparkSession.sparkContext.defaultParallelism), "cid")
+    """Records in as many tasks as their number asks for: blocking works much longer on a record than its bytes say."""
+    return records.repartition(max(8, -(-records.count() // AT_ONCE)), "cid")
 
 
 def _merge(records: DataFrame, roots: DataFrame) -> DataFrame:
@@ -223,9 +235,9 @@ def link_entities(entities: DataFrame, id_col: str = "entity_id", name_col: str
     """
     spellings = spool(distinct_spellings(entities, id_col, name_col, kind_col), "spellings")
     records = spellings.select(F.col("sid").alias("cid"), F.array("name").alias("names"), "kind", F.lit(True).alias("grew"))
-    records = spool(_spread(records), "records")
+    records = spool(records, "records")
     levels, merged, sure_left = None, None, True
-    for _ in range(MAX_ROUNDS):
+    while True:  # every round merges a pair or is the last
         if levels is None:
             levels = spool(_levels(_pairs(records, only_changed=False), records), "levels")
         elif merged is not None:
@@ -240,10 +252,8 @@ def link_entities(entities: DataFrame, id_col: str = "entity_id", name_col: str
             sure_left, merged = False, None
             continue
         merged = components(edges)
-        records = spool(_spread(_merge(records, merged)), "records")
+        records = spool(_merge(records, merged), "records")
         sure_left = True
-    else:
-        raise RuntimeError("merging did not settle")
     parts = records.select(F.col("cid").alias("cluster_id"), F.explode("names").alias("name"))
     of_spelling = spellings.select("sid", "key", "name").join(parts, "name").groupBy("key").agg(F.min("cluster_id").alias("cluster_id"))
     rows = entities.select(F.col(id_col), value_key(F.col(name_col)).alias("key")).filter(F.col(id_col).isNotNull())

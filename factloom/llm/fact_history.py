@@ -14,6 +14,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -277,6 +278,8 @@ _FACTS = T.StructType([T.StructField("so", T.LongType()), T.StructField("p", T.L
 _VALUES = T.StructType([T.StructField("v", T.LongType()), T.StructField("text", T.StringType())])
 #: Kinds of rows of the piece table: wholes, words with context, and the words themselves with their slip pieces.
 _WHOLE, _WORD, _SPELLED = 0, 1, 2
+#: Kind of an asked word for a kind of organisation, which asks for slips of itself and not for itself.
+_SLIPS_ONLY = 3
 _KEYS = ("k_s", "k_p", "k_o")
 
 
@@ -307,6 +310,9 @@ def _values(facts: DataFrame) -> DataFrame:
     return keyed.groupBy("v").agg(F.max(F.struct(F.length("text").alias("n"), "text")).getField("text").alias("text"))
 
 
+_USUAL = np.array([_hash(w) for w in sorted(ORG_WORDS)], dtype=np.int64)
+
+
 class _Rows:
     """Rows of the piece table, column by column."""
 
@@ -354,7 +360,10 @@ def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows()
         for v, text in zip(b.column("v").to_pylist(), b.column("text").to_pylist()):
             rows.add(v, *asked_pieces(text))
-        yield rows.batch()
+        made = rows.batch()
+        usual = pa.array(np.isin(made.column("word").to_numpy(), _USUAL) & (made.column("context").to_numpy() != 0))
+        kind = pc.if_else(usual, pa.scalar(_SLIPS_ONLY, pa.int8()), made.column("kind"))
+        yield made.set_column(0, "kind", kind)
 
 
 class FactHistory:
@@ -436,11 +445,13 @@ class FactHistory:
                 kept = [near_words(a, c) for a, c in zip(b.column("spelled").to_pylist(), b.column("near_spelled").to_pylist())]
                 yield b.select(["word", "near"]).filter(pa.array(kept, pa.bool_()))
 
-        words = mine.join(other, "context").select("word", "near", "spelled", "near_spelled").distinct().mapInArrow(check, "word long, near long")
-        by_word = asked.filter(F.col("kind") == _WORD).join(words, "word").select(F.xxhash64("near", "context").alias("key"), "v")
-        by_whole = asked.filter(F.col("kind") == _WHOLE).select(F.xxhash64("word", "context").alias("key"), "v")
+        slips = mine.join(other, "context").filter(F.col("word") != F.col("near")).select("word", "near", "spelled", "near_spelled").distinct()
+        # words that have slips of each other are few, so Spark mostly finds them small enough to send them to the asked pieces
+        slips = spool(slips.mapInArrow(check, "word long, near long"), "slips")
+        by_slip = asked.filter(F.col("kind") != _WHOLE).join(slips, "word").select(F.xxhash64("near", "context").alias("key"), "v")
+        by_piece = asked.filter(F.col("kind") != _SLIPS_ONLY).select(F.xxhash64("word", "context").alias("key"), "v")
         kept = pieces.filter(F.col("kind") != _SPELLED).select(F.xxhash64("word", "context").alias("key"), F.col("v").alias("other"))
-        met = by_word.unionByName(by_whole).join(kept, "key").filter(F.col("v") != F.col("other")).select("v", "other").distinct()
+        met = by_piece.unionByName(by_slip).join(kept, "key").filter(F.col("v") != F.col("other")).select("v", "other").distinct()
         pairs = met.join(own, "v").join(texts.select(F.col("v").alias("other"), F.col("text").alias("other_text")), "other")
 
         def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

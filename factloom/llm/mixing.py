@@ -8,11 +8,13 @@ the lowest ranks are taken until the source's tokens are filled.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from factloom.session import spool
@@ -36,8 +38,19 @@ def _encoder(file: str):
     return tiktoken.Encoding(Path(file).stem, pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-#: Longer runs without white space are encoded in pieces of this many characters; byte-pair merging is superlinear in their length.
-_PIECE = 20_000
+#: Long texts are encoded in pieces of about this many characters, which keeps what the encoder holds small.
+_PIECE = 100_000
+#: A blank between two letters or digits: the encoder's pattern always begins a new piece there, so a cut changes no token.
+_BLANK = re.compile(r"(?<=\w) (?=\w)")
+
+
+def _pieces(text: str) -> Iterator[str]:
+    start = 0
+    while start < len(text):
+        blank = _BLANK.search(text, start + _PIECE)
+        end = blank.start() if blank else len(text)
+        yield text[start:end]
+        start = end
 
 
 def token_count(text: str | None, file: str) -> int:
@@ -45,16 +58,22 @@ def token_count(text: str | None, file: str) -> int:
     if not text:
         return 0
     encode = _encoder(file).encode_ordinary
-    return sum(len(encode(text[k : k + _PIECE])) for k in range(0, len(text), _PIECE)) if len(text) > 50 * _PIECE else len(encode(text))
+    return sum(len(encode(piece)) for piece in _pieces(text))
 
 
 def count_tokens(docs: DataFrame, columns: list[str], text: str = "text", file: str = f"{TOKENIZERS}/byte_bpe_50k.tiktoken") -> DataFrame:
-    """The named columns and ``tokens``, the length of the whole text in tokens of a public tokenizer."""
+    """The named columns and ``tokens``, the length of the whole text in tokens of a public tokenizer.
+
+    ``file`` is the tokenizer's vocabulary on the driver; Spark sends it to the executors.
+    """
     kept = docs.select(*columns, F.col(text).alias("__text"))
+    docs.sparkSession.sparkContext.addFile(file)
+    name = Path(file).name
 
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        sent = SparkFiles.get(name)
         for texts in batches:
-            yield texts.map(lambda t: token_count(t, file)).astype("int64")
+            yield texts.map(lambda t: token_count(t, sent)).astype("int64")
 
     return kept.select(*columns, F.pandas_udf(count, "long")("__text").alias("tokens"))
 
@@ -69,8 +88,8 @@ def mix_sources(
 ) -> tuple[DataFrame, DataFrame]:
     """Choose copies of documents so that each source has its target share of all tokens.
 
-    ``docs`` has an id, a source, its tokens and, if ``weight_col`` is named, a whole weight from 1 to 64 (others are limited to
-    that; null is 1). ``targets`` has ``source``, ``target_share`` and ``max_repeats``. Returns
+    ``docs`` has an id, a source, its tokens and, if ``weight_col`` is named, a whole weight from 1 to 64 (null and
+    less are 1, more is an error). ``targets`` has ``source``, ``target_share`` and ``max_repeats``. Returns
 
     * ``chosen``: (``id``, ``source``, ``tokens``, ``copies``), the documents used, ``copies`` between 1 and ``max_repeats``;
     * ``report``: one row per source of ``targets``: ``target_share``, ``wanted_tokens``, ``capacity_tokens``, ``chosen_tokens``,
@@ -84,7 +103,7 @@ def mix_sources(
     """
     spark = docs.sparkSession
     plan = _targets(targets)
-    weight = F.lit(1) if weight_col is None else F.greatest(F.lit(1), F.least(F.coalesce(F.col(weight_col), F.lit(1)), F.lit(MAX_WEIGHT)))
+    weight = F.lit(1) if weight_col is None else _checked_weight(F.col(weight_col))
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(tokens_col).cast("long").alias("tokens"), weight.cast("int").alias("weight")
     ).filter("tokens > 0 and source is not null")
@@ -115,6 +134,12 @@ def mix_sources(
     return chosen, report
 
 
+def _checked_weight(weight: Column) -> Column:
+    """Null and less than 1 count as 1; more than ``MAX_WEIGHT`` is an error."""
+    tooheavy = F.raise_error(F.concat(F.lit(f"a weight may be {MAX_WEIGHT} at most, not "), weight.cast("string")))
+    return F.when(weight > MAX_WEIGHT, tooheavy.cast("int")).otherwise(F.greatest(F.lit(1), F.coalesce(weight, F.lit(1))))
+
+
 def _targets(targets: DataFrame) -> dict[str, tuple[float, int]]:
     rows = targets.filter("source is not null").groupBy("source").agg(F.max("target_share"), F.max("max_repeats")).orderBy("source").limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:

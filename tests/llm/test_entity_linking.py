@@ -55,3 +55,11 @@ def test_hot_blocks_in_parts_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(entity_linking, "HOT", 1)
     got = {r.entity_id: r.cluster_id for r in link_entities(entities(spark)).collect()}
     assert got == {100 * g + k: 100 * g for g, names in enumerate(GROUPS) for k in range(len(names))}
+
+
+def test_pairs_of_one_family_come_once(spark):
+    """Records with one surname meet in the block of the surname only, not once more for every slip of it."""
+    one, two = entity_linking.block_keys("Ann Vimajucmur", "person"), entity_linking.block_keys("Alan Vimajucmur", "person")
+    assert [k for k, w in one & two if not w] == ["P|vimajucmur|a"]
+    slip = entity_linking.block_keys("Ann Vimajucumr", "person")
+    assert any(w and {x for k2, x in one if k2 == k} - {w} for k, w in slip)

@@ -65,3 +65,16 @@ def test_tokens_against_tokenizers_library(spark):
     assert got == {k: len(other.encode(t, add_special_tokens=False).ids) if t else 0 for k, t in enumerate(texts)}
     assert token_count(None, FILE) == 0
     assert [r[0] for r in df.limit(1).select(length_weight(F.lit(1000))).collect()] == [9]
+
+
+def test_long_texts_count_like_the_whole():
+    from factloom.llm.mixing import _encoder
+
+    text = ("Ein Fluss, 3 Brücken  und it's\n\n42 $$ doors... " * 9_000) + "x" * 3_000 + " end"
+    assert len(text) > 300_000 and token_count(text, FILE) == len(_encoder(FILE).encode_ordinary(text))
+
+
+def test_too_heavy_weights_are_refused(spark):
+    rows = spark.createDataFrame([(1, "a", 10, 65)], "doc_id long, source string, tokens long, weight int")
+    with pytest.raises(Exception, match="64 at most"):
+        mix_sources(rows, targets(spark), weight_col="weight")
