@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.operators.graph import shortest_path
 
@@ -47,22 +47,29 @@ def _played(g: MovieGraph, edge: DataFrame) -> DataFrame:
     return edge.join(g.person, "person_id").join(g.movie, "movie_id")
 
 
-def actors_of(g: MovieGraph, movie: str) -> DataFrame:
-    return _played(g, g.acted_in).filter(F.col("title") == movie).select(F.col("name").alias("actor"), "role")
+def _named(column: str, value: str, exact: bool) -> Column:
+    return F.col(column) == value if exact else F.contains(F.col(column), F.lit(value))
 
 
-def movies_of(g: MovieGraph, actor: str) -> DataFrame:
-    rows = _played(g, g.acted_in).filter(F.col("name") == actor).select(F.col("title").alias("movie"), "year")
+def actors_of(g: MovieGraph, movie: str, exact: bool = True) -> DataFrame:
+    return _played(g, g.acted_in).filter(_named("title", movie, exact)).select(F.col("name").alias("actor"), "role")
+
+
+def _titles(g: MovieGraph, edge: DataFrame, name: str, exact: bool) -> DataFrame:
+    rows = _played(g, edge).filter(_named("name", name, exact)).select(F.col("title").alias("movie"), "year")
     return rows.orderBy(F.asc_nulls_last("year"), "movie")
 
 
-def director_of(g: MovieGraph, movie: str) -> DataFrame:
-    return _played(g, g.directed).filter(F.col("title") == movie).select(F.col("name").alias("director"))
+def movies_of(g: MovieGraph, actor: str, exact: bool = True) -> DataFrame:
+    return _titles(g, g.acted_in, actor, exact)
 
 
-def directed_by(g: MovieGraph, director: str) -> DataFrame:
-    rows = _played(g, g.directed).filter(F.col("name") == director).select(F.col("title").alias("movie"), "year")
-    return rows.orderBy(F.asc_nulls_last("year"), "movie")
+def director_of(g: MovieGraph, movie: str, exact: bool = True) -> DataFrame:
+    return _played(g, g.directed).filter(_named("title", movie, exact)).select(F.col("name").alias("director"))
+
+
+def directed_by(g: MovieGraph, director: str, exact: bool = True) -> DataFrame:
+    return _titles(g, g.directed, director, exact)
 
 
 def movies_in_year(g: MovieGraph, year: int, since: bool = False) -> DataFrame:
@@ -75,8 +82,29 @@ def movies_in_genre(g: MovieGraph, genre: str) -> DataFrame:
     return g.movie.filter(hit).select(F.col("title").alias("movie"), "year").orderBy("movie")
 
 
-def release_year(g: MovieGraph, movie: str) -> DataFrame:
-    return g.movie.filter(F.col("title") == movie).select(F.col("title").alias("movie"), "year")
+def genres(g: MovieGraph) -> DataFrame:
+    """Vertices (``genre_id``, ``name``) of the genres that movies have."""
+    return g.movie.select("genre").filter("genre is not null").distinct().select(F.col("genre").alias("genre_id"), F.col("genre").alias("name"))
+
+
+def in_genre(g: MovieGraph) -> DataFrame:
+    """Edges (``movie_id``, ``genre_id``) from movies to their genres."""
+    return g.movie.filter("genre is not null").select("movie_id", F.col("genre").alias("genre_id")).distinct()
+
+
+def movies_of_genre(g: MovieGraph, genre: str) -> DataFrame:
+    """Movies by an edge to the genre vertex of this name, latest first."""
+    hits = in_genre(g).join(genres(g).filter(F.col("name") == genre), "genre_id").join(g.movie, "movie_id")
+    return hits.select(F.col("title").alias("movie"), "year").orderBy(F.desc_nulls_first("year"), "movie")
+
+
+def latest_movies(g: MovieGraph, rows: int = 20) -> DataFrame:
+    """The latest movies with genre and year: what a question about a genre gets that names none."""
+    return g.movie.select(F.col("title").alias("movie"), "genre", "year").orderBy(F.desc_nulls_first("year"), "movie").limit(rows)
+
+
+def release_year(g: MovieGraph, movie: str, exact: bool = True) -> DataFrame:
+    return g.movie.filter(_named("title", movie, exact)).select(F.col("title").alias("movie"), "year")
 
 
 def count_movies(g: MovieGraph, actor: str | None = None, exact: bool = True) -> DataFrame:
@@ -113,17 +141,31 @@ def genre_subgraph(g: MovieGraph, genre: str) -> DataFrame:
     return bipartite(g).filter(F.col("genre") == genre)
 
 
-#: Intent -> (entities it needs, the query's builder). Lower and upper case names of one intent share a builder.
-INTENTS: dict[str, tuple[tuple[str, ...], Callable[..., DataFrame]]] = {
-    "find_actors_in_movie": (("movie",), actors_of),
-    "find_movies_by_actor": (("actor",), movies_of),
-    "find_director": (("movie",), director_of),
-    "find_movies_by_director": (("director",), directed_by),
-    "find_movies_by_year": (("year",), movies_in_year),
-    "find_movies_by_genre": (("genre",), movies_in_genre),
-    "find_release_year": (("movie",), release_year),
-    "count_movies": (("actor",), count_movies),
-    "find_path": (("actor", "actor2"), path_between),
-    "find_coactors": (("actor",), coactors),
+@dataclass(frozen=True)
+class Question:
+    """One way to answer an intent: the entities it needs and the builder that takes their values."""
+
+    needs: tuple[str, ...]
+    build: Callable[..., DataFrame]
+
+
+def _both(needs: str, build: Callable[..., DataFrame]) -> tuple[Question, ...]:
+    """A name as it is, then a part of a name."""
+    return Question((needs,), build), Question((needs,), lambda g, value: build(g, value, exact=False))
+
+
+#: Intent -> the ways to answer it, best first; the last is what is left if no way's entities are named.
+INTENTS: dict[str, tuple[Question, ...]] = {
+    "find_actors": _both("movie", actors_of),
+    "find_movies_by_actor": _both("actor", movies_of),
+    "find_director": _both("movie", director_of),
+    "find_movies_by_director": _both("director", directed_by),
+    "find_movies_by_year": (Question(("year",), movies_in_year), Question(("year",), lambda g, year: movies_in_year(g, year, since=True))),
+    "find_movies_by_genre": (Question(("genre",), movies_of_genre), Question(("genre",), movies_in_genre), Question((), latest_movies)),
+    "find_release_year": _both("movie", release_year),
+    "count_movies": (*_both("actor", count_movies), Question((), count_movies)),
+    "find_path": (Question(("actor", "actor2"), path_between),),
+    "find_coactors": (Question(("actor",), coactors),),
 }
-INTENTS["find_actors"] = INTENTS["find_actors_in_movie"]
+#: Older names of intents, compared in lower case.
+INTENTS["find_actors_in_movie"] = INTENTS["find_actors"]

@@ -10,6 +10,7 @@ from factloom.functions.text import agent_key, compare_key, quoted_in, truncated
 from factloom.operators import dedup, filters, graph, movies, represent, stats, vector
 from factloom.plans import views
 from factloom.plans.views import FACTS_SQL, GRAPH_SQL, PROPOSED_SQL, TRADE_SQL
+from factloom.session import spool
 from factloom.sources import files, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -256,6 +257,30 @@ def relation_relevance(spark, sf_dir):
     return scored.withColumn("n", F.row_number().over(order)).filter("n <= 50").drop("n")
 
 
+_KNOWN = f"""with {FACTS_SQL}, q as (select distinct source as query_id, predicate from facts where source is not null and predicate is not null),
+a as (select query_id, unnest({_WORDS("replace(query_id, '_', ' ')")}) as word from (select distinct query_id from q)),
+r as (select relation, unnest({_WORDS("replace(relation, '_', ' ')")}) as word, 3 as points from relation_schema union all select relation, unnest({_WORDS("description")}), 1 from relation_schema),
+hit as (select distinct query_id, relation, lower(relation) as k from (select query_id, lower(replace(predicate, '_', ' ')) as k from q) p join (select distinct relation from relation_schema) s on lower(s.relation) = p.k),
+p as (select query_id, relation, points from a join r using (word) union all select query_id, relation, 10 from hit)
+select query_id, relation, sum(points)::bigint as score from p group by query_id, relation"""
+
+
+@_query(_KNOWN)
+def relation_relevance_known(spark, sf_dir):
+    """Relations for every source as the question, with the predicates of its facts as known ones."""
+    rows = views.facts(spark, sf_dir).filter("source is not null and predicate is not null").select(F.col("source").alias("query_id"), "predicate")
+    asked = rows.select("query_id", F.translate("query_id", "_", " ").alias("query")).distinct()
+    return stats.relation_relevance(asked, views.table(spark, sf_dir, "relation_schema"), rows)
+
+
+@_query(
+    f"with {FACTS_SQL}, {PROPOSED_SQL}, a as (select distinct {_STRIP('subject')} as s, {_STRIP('predicate')} as p, {_STRIP('object')} as o from proposed where {_FULL}), b as (select distinct {_STRIP('subject')} as s, {_STRIP('predicate')} as p, {_STRIP('object')} as o from facts where {_FULL}), "
+    "m as (select count(*) as missing from (select * from a except select * from b)) select (select count(*) from a) as source_keys, (select count(*) from b) as target_keys, missing, round(((select count(*) from a) - missing) / (select count(*) from a), 6) as ratio from m"
+)
+def migration_verified(spark, sf_dir):
+    return store.verify(views.proposals(spark, sf_dir), views.facts(spark, sf_dir)).withColumn("ratio", F.round("ratio", 6))
+
+
 # --- vectors -----------------------------------------------------------------------------------------------------------------
 
 _DOT = "round(list_dot_product(q.embedding::double[], i.embedding::double[]), 6)"
@@ -303,6 +328,33 @@ def vector_cosine(spark, sf_dir):
     return vector.top_k(_asked(spark, sf_dir), views.table(spark, sf_dir, "embeddings"), 3, measure="cosine").select("query_id", "vec_id", "score")
 
 
+@_query(_TOP(3).replace(_DOT, "round((1 + list_dot_product(q.embedding::double[], i.embedding::double[]) / (sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])) * sqrt(list_dot_product(i.embedding::double[], i.embedding::double[])) + 1e-8)) / 2, 6)"))
+def vector_scaled(spark, sf_dir):
+    return vector.top_k(_asked(spark, sf_dir), views.table(spark, sf_dir, "embeddings"), 3, measure="scaled")
+
+
+_SIMILAR = f"""with {FACTS_SQL}, cand as (select 'n' || vec_id as subject, 'is' as predicate, 'v' as object, vec_id as row_id, embedding from embeddings where vec_id % 100 = 0),
+best as (select q.row_id, max(round(list_dot_product(q.embedding::double[], i.embedding::double[]), 6)) as similarity from cand q join embeddings i on i.vec_id <> q.row_id group by q.row_id)
+select row_id, case when similarity >= 0.4 then 'semantic' else 'new' end as status, case when similarity >= 0.4 then similarity end as similarity from cand join best using (row_id)"""
+
+
+@_query(_SIMILAR)
+def semantic_status(spark, sf_dir):
+    """Candidates against a store by similarity: every hundredth vector against all others, none of them an exact duplicate."""
+    items = views.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    asked = items.filter("vec_id % 100 = 0").withColumnRenamed("vec_id", "row_id")
+    best = vector.top_k(asked, items, 2, query_id="row_id").filter("row_id <> vec_id").groupBy("row_id").agg(F.max("score").alias("similarity"))
+    candidates = asked.select("row_id", F.concat(F.lit("n"), "row_id").alias("subject"), F.lit("is").alias("predicate"), F.lit("v").alias("object"))
+    return dedup.check_duplicates(candidates, views.facts(spark, sf_dir), similar=best, threshold=0.4).select("row_id", "status", "similarity")
+
+
+@_query(f"with {FACTS_SQL} select row_id, '| ' || {_HUMAN('subject')} || ' | ' || {_HUMAN('predicate')} || ' | ' || {_HUMAN('object')} || ' | ' || printf('%.3f', (row_id % 4) / 4.0) || ' |' as cells, '[' || printf('%.2f', (row_id % 4) / 4.0) || '] (' || {_HUMAN('subject')} || ', ' || {_HUMAN('predicate')} || ', ' || {_HUMAN('object')} || ')' as scored from facts")
+def scored_lines(spark, sf_dir):
+    """Facts as table rows and with scores, in quarters, which every engine rounds alike."""
+    rows = views.facts(spark, sf_dir).withColumn("score", F.col("row_id") % 4 / 4.0)
+    return rows.select("row_id", represent.fact_lines("table").alias("cells"), represent.fact_lines("scored").alias("scored"))
+
+
 # --- graph -------------------------------------------------------------------------------------------------------------------
 
 _EXPAND = (
@@ -318,7 +370,8 @@ select subject, predicate, object, source, hop::int as hop from hit where hop <=
 
 @_query(_EXPAND)
 def expansion(spark, sf_dir):
-    return graph.expand(views.trade(spark, sf_dir), "NATION_0", 2, None)
+    # the facts are computed from five tables, so they are written once and not computed for every hop
+    return graph.expand(spool(views.trade(spark, sf_dir), "trade"), "NATION_0", 2, None)
 
 
 @_query(f"select * from ({_EXPAND}) order by hop, subject, predicate, object limit 100")
@@ -452,6 +505,15 @@ _movie("find_director", f"select name as director from {_LED} where title = {_TI
 _movie("find_movies_by_year", "select title as movie, year from movie where year = 2010", lambda g: movies.movies_in_year(g, 2010))
 _movie("find_movies_since_year", "select title as movie, year from movie where year >= 2020", lambda g: movies.movies_in_year(g, 2020, since=True))
 _movie("find_movies_by_genre", "select title as movie, year from movie where contains(lower(genre), lower('Standard'))", lambda g: movies.movies_in_genre(g, "Standard"))
+_movie("find_movies_of_genre", "select title as movie, year from movie where genre = (select min(genre) from movie)", lambda g: movies.movies_of_genre(g, g.movie.agg(F.min("genre")).first()[0]))
+_movie("latest_movies", "select title as movie, genre, year from movie order by year desc nulls first, title limit 20", lambda g: movies.latest_movies(g))
+_movie("count_all_movies", "select count(*) as movie_count from movie", lambda g: movies.count_movies(g))
+_movie("find_actors_in_part_of_title", f"select name as actor, role from {_ACTED} where contains(title, 'lime')", lambda g: movies.actors_of(g, "lime", exact=False))
+_movie("find_movies_by_part_of_actor", f"select title as movie, year from {_ACTED} where contains(name, '#00000000')", lambda g: movies.movies_of(g, "#00000000", exact=False))
+_movie("find_movies_by_part_of_director", f"select title as movie, year from {_LED} where contains(name, '#00000000')", lambda g: movies.directed_by(g, "#00000000", exact=False))
+_movie("find_director_by_part_of_title", f"select name as director from {_LED} where contains(title, 'lime')", lambda g: movies.director_of(g, "lime", exact=False))
+_movie("find_release_year_by_part", "select title as movie, year from movie where contains(title, 'lime')", lambda g: movies.release_year(g, "lime", exact=False))
+_movie("genre_edges", "select movie_id, genre as genre_id from movie where genre is not null", lambda g: movies.in_genre(g))
 _movie("find_release_year", f"select title as movie, year from movie where title = {_TITLE}", lambda g: movies.release_year(g, g.movie.agg(F.min("title")).first()[0]))
 _movie("count_movies", f"select count(*) as movie_count from acted_in join person using (person_id) where name = '{SUPPLIER}'", lambda g: movies.count_movies(g, SUPPLIER))
 _movie("count_movies_absent", "select count(*) as movie_count from acted_in join person using (person_id) where name = 'nobody'", lambda g: movies.count_movies(g, "nobody"))

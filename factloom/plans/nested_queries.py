@@ -52,6 +52,11 @@ def _sub(parent: str, name: str, holder: str = "e") -> str:
 
 _WITH = f"with {_RUNS}, {_top('tool_calls')}, {_top('validation_history')}, {_top('validated_triplets')}, {_sub('tool_calls', 'facts', 'res')}, {_sub('validation_history', 'proposed')}, {_sub('validation_history', 'validated')}, {_sub('validation_history', 'rejected')}"
 _HELD = "json_type(e) <> 'NULL'"
+#: Objects are written with their keys in order, as a variant holds them.
+_SORTED_ARGUMENTS = (
+    "case when json_type(e, '$.arguments') = 'OBJECT' then '{' || array_to_string(list_transform(list_sort(json_keys(e, '$.arguments')), "
+    "lambda k: to_json(k)::varchar || ':' || json_extract(e, '$.arguments.\"' || k || '\"')::varchar), ',') || '}' else e->>'$.arguments' end"
+)
 _CHECKED_SQL = "e->>'$.triplet' as triplet, e->>'$.status' as status, e->>'$.reason' as reason, e->>'$.original' as original"
 
 ORACLES: dict[str, str] = {
@@ -64,7 +69,7 @@ ORACLES: dict[str, str] = {
     "p3_returned_facts": f"{_WITH} select run_id, pos::bigint as pos, sub_pos::bigint as sub_pos, e->>'$.subject' as subject, e->>'$.predicate' as predicate, e->>'$.object' as object, e->>'$.fact' as fact, try_cast(e->>'$.score' as double) as score from facts where {_HELD}",
     "p3_validation_attempts": f"{_WITH} select run_id, pos::bigint as pos, try_cast(e->>'$.attempt' as int) as attempt, try_cast(e->>'$.all_rejected' as boolean) as all_rejected, e->>'$.remote_model' as remote_model from validation_history where {_HELD}",
     "p3_rejected_in_attempt": f"{_WITH} select run_id, pos::bigint as pos, sub_pos::bigint as sub_pos, e->>'$.triplet' as triplet, e->>'$.reason' as reason from rejected where {_HELD}",
-    "p3_tool_calls": f"{_WITH} select run_id, pos::bigint as pos, try_cast(e->>'$.iteration' as int) as iteration, e->>'$.tool' as tool, e->>'$.arguments' as arguments, try_cast(e->>'$.knowledge_iteration' as int) as knowledge_iteration from tool_calls where {_HELD}",
+    "p3_tool_calls": f"{_WITH} select run_id, pos::bigint as pos, try_cast(e->>'$.iteration' as int) as iteration, e->>'$.tool' as tool, {_SORTED_ARGUMENTS} as arguments, try_cast(e->>'$.knowledge_iteration' as int) as knowledge_iteration from tool_calls where {_HELD}",
     "p3_proposed_triplets": f"{_WITH} select run_id, pos::bigint as pos, sub_pos::bigint as sub_pos, e->>'$' as triplet from proposed where {_HELD}",
     "p3_validated_in_attempt": f"{_WITH} select run_id, pos::bigint as pos, sub_pos::bigint as sub_pos, {_CHECKED_SQL} from validated where {_HELD}",
     "p3_final_triplets": f"{_WITH} select run_id, pos::bigint as pos, {_CHECKED_SQL} from validated_triplets where {_HELD}",

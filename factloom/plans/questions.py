@@ -11,7 +11,7 @@ from pyspark.ml.feature import HashingTF, IndexToString, RegexTokenizer, StringI
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.operators.movies import INTENTS, MovieGraph
+from factloom.operators.movies import INTENTS, MovieGraph, Question
 from factloom.operators.vector import top_k
 from factloom.plans.models import Embedder, embed_column
 
@@ -20,11 +20,12 @@ LEAST_CONFIDENCE = 0.6
 #: A name this similar to a mention is taken if nothing else fits.
 LEAST_SIMILARITY = 0.60
 
-# Genre words and their genres.
-GENRES = {
-    "action": "Action", "adventure": "Adventure", "comedy": "Comedy", "drama": "Drama", "fantasy": "Fantasy", "horror": "Horror", "romance": "Romance", "thriller": "Thriller",
-    "crime": "Crime", "sci-fi": "Sci-Fi", "science fiction": "Sci-Fi",
-}
+# The genre words that are looked for, in the order in which they are looked for.
+GENRE_WORDS = ("action", "drama", "comedy", "thriller", "horror", "sci-fi", "science fiction", "romance", "documentary", "fantasy", "adventure")
+#: Genre words whose genre is not the word with a capital.
+GENRE_NAMES = {"sci-fi": "Sci-Fi", "science fiction": "Sci-Fi"}
+#: Words before a year that ask for the years from then on.
+SINCE = re.compile(r"\b(?:since|after|from)\s+(?:19|20)\d{2}\b", re.IGNORECASE)
 
 
 class IntentClassifier:
@@ -73,7 +74,7 @@ def find_mentions(question: str) -> Mentions:
     """Years, genres, quoted strings and all phrases of three, two and one words, in this order."""
     out = Mentions([int(y) for y in re.findall(r"\b(?:19|20)\d{2}\b", question)])
     lower = question.lower()
-    out.genres = [g for word, g in GENRES.items() if word in lower]
+    out.genres = [GENRE_NAMES.get(word, word.capitalize()) for word in GENRE_WORDS if word in lower]
     phrases = re.findall(r'"([^"]+)"', question)
     words = re.sub(r"[?!.,]", "", question).split()
     for at in range(len(words)):
@@ -105,6 +106,18 @@ def match_phrases(phrases: DataFrame, names: DataFrame) -> DataFrame:
     return hit.groupBy("question_id", "nth").agg(F.min_by("name", "order").alias("name"))
 
 
+def contained_phrases(phrases: DataFrame, names: DataFrame, least: int = 4) -> DataFrame:
+    """(``question_id``, ``nth``, ``name``) of phrases that hold a name or are part of one, case ignored; the first name by the alphabet.
+
+    The phrases are those of the questions asked, a stated set that is broadcast against all names; shorter ones than ``least`` letters
+    are left out, as they are part of almost any name.
+    """
+    p, n = F.lower("phrase"), F.lower("name")
+    asked = phrases.filter(F.length("phrase") >= least)
+    hit = names.select("name").join(F.broadcast(asked), F.contains(n, p) | (F.contains(p, n) & (F.length("name") >= least)))
+    return hit.groupBy("question_id", "nth").agg(F.min("name").alias("name"))
+
+
 def similar_entity(mentions: DataFrame, names: DataFrame, embedder: Embedder) -> DataFrame:
     """The most similar name of every mention, if its similarity is above the bound."""
     asked = embed_column(mentions.select(F.col("phrase").alias("query_id"), F.col("phrase").alias("text")).distinct(), embedder)
@@ -126,8 +139,8 @@ class Outcome:
 class QuestionPipeline:
     """Intent, gate, entities, query. A query is a DataFrame that was analysed and not run."""
 
-    def __init__(self, graph: MovieGraph, classifier: IntentClassifier):
-        self.graph, self.classifier = graph, classifier
+    def __init__(self, graph: MovieGraph, classifier: IntentClassifier, embedder: Embedder | None = None):
+        self.graph, self.classifier, self.embedder = graph, classifier, embedder
         self.spark: SparkSession = graph.person.sparkSession
 
     def convert(self, question: str) -> Outcome:
@@ -137,35 +150,51 @@ class QuestionPipeline:
             out.message = f"confidence {out.confidence:.2f} is below {LEAST_CONFIDENCE}"
             return out
         out.entities = self.entities(question)
-        builder = INTENTS.get((out.intent or "").lower())
-        if builder is None:
-            out.message = f"no query for intent {out.intent}"
-            return out
-        needed, build = builder
-        values = bind(needed, out.entities)
-        if values is None:
-            out.message = f"the question names no {' and '.join(needed)}"
+        chosen = choose((out.intent or "").lower(), out.entities, since=SINCE.search(question) is not None)
+        if chosen is None:
+            known = (out.intent or "").lower() in INTENTS
+            out.message = f"the question names nothing that {out.intent} needs" if known else f"no query for intent {out.intent}"
             return out
-        out.query, out.success = build(self.graph, *values), True
+        way, values = chosen
+        out.query, out.success = way.build(self.graph, *values), True
         return out
 
     def entities(self, question: str) -> dict[str, list]:
-        """Persons and movies named in the question, found by one join of its phrases with the names."""
+        """Persons and movies named in the question: by equality, else by containment, else by similarity, where an embedder is given."""
         found = find_mentions(question)
         phrases = self.spark.createDataFrame([(0, k, p) for k, p in enumerate(found.phrases)], "question_id int, nth int, phrase string")
-        take = lambda names: list(dict.fromkeys(r.name for r in match_phrases(phrases, names).orderBy("nth").collect()))
-        return {
-            "actors": take(self.graph.person.select("name")),
-            "movies": take(self.graph.movie.select(F.col("title").alias("name"))),
-            "years": found.years,
-            "genres": found.genres,
-        }
+        persons, movies = self.graph.person.select("name"), self.graph.movie.select(F.col("title").alias("name"))
+        return {"actors": self._matched(phrases, persons), "movies": self._matched(phrases, movies), "years": found.years, "genres": found.genres}
+
+    def _matched(self, phrases: DataFrame, names: DataFrame) -> list[str]:
+        for step in (match_phrases, contained_phrases):
+            hits = list(dict.fromkeys(r.name for r in step(phrases, names).orderBy("nth").collect()))
+            if hits:
+                return hits
+        if self.embedder is None:
+            return []
+        return [r.item for r in similar_entity(phrases, names, self.embedder).orderBy(F.desc("score"), "item").limit(5).collect()]
 
     def ask(self, question: str, rows: int = 50) -> tuple[Outcome, list[dict]]:
         out = self.convert(question)
         return out, [r.asDict(recursive=True) for r in out.query.limit(rows).collect()] if out.success else []
 
 
+def choose(intent: str, entities: dict[str, list], since: bool = False) -> tuple[Question, list] | None:
+    """The first way to answer an intent whose entities are all named, with their values; null if there is none.
+
+    With ``since`` the way that takes years from the named one on comes first.
+    """
+    ways = INTENTS.get(intent, ())
+    if since and intent == "find_movies_by_year":
+        ways = ways[::-1]
+    for way in ways:
+        values = bind(way.needs, entities)
+        if values is not None:
+            return way, values
+    return None
+
+
 def bind(needed: tuple[str, ...], entities: dict[str, list]) -> list | None:
     """Values for a query's parameters, bound as values and never as text; null if one is missing."""
     pools = {"movie": entities.get("movies", []), "actor": entities.get("actors", []), "director": entities.get("actors", []), "actor2": entities.get("actors", [])[1:], "year": entities.get("years", []), "genre": entities.get("genres", [])}

@@ -2,6 +2,7 @@ import json
 
 import pytest
 
+from factloom.operators import movies
 from factloom.operators.movies import MovieGraph
 from factloom.plans import cypher, questions, rendering, retrieval
 from factloom.plans.agent import ToolAgent, ValidatingAgent, tool_call_in
@@ -98,6 +99,34 @@ def test_question_pipeline(spark, tmp_path):
     assert not pipe.convert("who acted in").success
 
 
+def test_ways_to_answer():
+    named = {"actors": ["A", "B"], "movies": [], "years": [1999], "genres": []}
+    way, values = questions.choose("find_movies_by_actor", named)
+    assert values == ["A"] and way.needs == ("actor",)
+    assert questions.choose("find_actors", named) is None and questions.choose("nothing", named) is None
+    assert questions.choose("count_movies", {})[1] == [] and questions.choose("find_movies_by_genre", {})[0].needs == ()
+    assert questions.choose("find_movies_by_year", named, since=True)[0] is not questions.choose("find_movies_by_year", named)[0]
+    assert questions.find_mentions("a documentary, crime or Comedy").genres == ["Comedy", "Documentary"]
+
+
+def test_cascade_of_names(spark):
+    names = spark.createDataFrame([("Tom Hanks",), ("Ann",)], "name string")
+    phrases = spark.createDataFrame([(0, 0, "hanks"), (0, 1, "to"), (0, 2, "see Tom Hanks now"), (0, 3, "annexed"), (0, 4, None)], "question_id int, nth int, phrase string")
+    assert {(r.nth, r.name) for r in questions.contained_phrases(phrases, names).collect()} == {(0, "Tom Hanks"), (2, "Tom Hanks")}
+    model = questions.IntentClassifier.fit(spark.createDataFrame([(f"since when {k}", "find_movies_by_year") for k in range(4)] + [(f"who {k}", "find_actors") for k in range(4)], "question string, intent string"))
+    g = graph(spark)
+    pipe = questions.QuestionPipeline(g, model, HashedEmbedder(64))
+    assert pipe.entities("films of ann lee")["actors"] == ["Ann Lee"]
+    assert pipe.entities("who is Ann Le")["actors"][0] == "Ann Lee"
+
+
+def test_genre_vertices(spark):
+    g = graph(spark)
+    assert {r.name for r in movies.genres(g).collect()} == {r.genre_id for r in movies.in_genre(g).collect()} == {"Drama"}
+    assert [r.movie for r in movies.movies_of_genre(g, "Drama").collect()] == ["Rain"]
+    assert movies.movies_of(g, "Ann", exact=False).count() == movies.movies_of(g, "Ann Lee").count() > 0 == movies.movies_of(g, "Ann").count()
+
+
 def test_rendering(spark):
     text = rendering.result_table(spark.range(25).withColumnRenamed("id", "n").selectExpr("n", "n as m"))
     assert text.splitlines()[-1] == "... and 5 more results" and len(text.splitlines()) == 23
