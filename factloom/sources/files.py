@@ -14,6 +14,8 @@ from factloom.operators.represent import normalize
 
 FACT_FILE = "canon_kg.txt"
 _TRIPLES = T.ArrayType(T.ArrayType(T.StringType()))
+#: A list of lists of double-quoted strings without escapes.
+_PLAIN_LISTS = r'^\s*\[(\s*\[\s*"[^"\\]*"(\s*,\s*"[^"\\]*")*\s*\]\s*(,(?=\s*\[))?)+\s*\]\s*$'
 
 
 def fact_file(path: str | Path) -> Path:
@@ -54,7 +56,11 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_fact_lines(lines: DataFrame, line_no: str = "line_no", value: str = "value") -> DataFrame:
     """(``line_no``, ``nth``, ``subject``, ``predicate``, ``object``, ``source_text``), a row per fact of a line."""
-    parsed = lines.select(F.col(line_no).alias("line_no"), F.col(value).alias("source_text"), _literal_lists(F.col(value)).alias("facts"))
+    # lists of plain double-quoted strings read alike in JSON and in Python; they are parsed in the JVM, only other lines go to Python
+    in_json = F.when(F.col(value).rlike(_PLAIN_LISTS), F.from_json(F.col(value), _TRIPLES))
+    rest = _literal_lists(F.when(in_json.isNull(), F.col(value)))
+    facts = F.coalesce(F.filter(in_json, lambda f: F.size(f) == 3), rest)
+    parsed = lines.select(F.col(line_no).alias("line_no"), F.col(value).alias("source_text"), facts.alias("facts"))
     exploded = parsed.select("line_no", "source_text", F.posexplode("facts").alias("nth", "fact"))
     return exploded.select("line_no", "nth", *[F.col("fact")[i].alias(p) for i, p in enumerate(("subject", "predicate", "object"))], "source_text")
 

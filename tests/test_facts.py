@@ -153,3 +153,15 @@ def test_parts_of_large_entities(spark):
     assert len(hot) > 1 and sorted(f.order for r in hot for f in r.facts) == list(range(50)) and max(r.fact_count for r in hot) < 25
     assert [(r.part_id, r.text) for r in parts if r.entity == "cold"] == [("cold#0", "cold: is a: x y, : z")]
     assert represent.entity_parts(facts.limit(0)).count() == 0
+
+
+def test_lines_in_json_and_in_python_read_alike(spark):
+    lines = [
+        '[["a", "b c", "d"]]', "[['a', 'b c', 'd']]", '[["x","y","z"], ["p","q","r"]]', '[["two", "parts"], ["a", "b", "c"]]', '[["a", "b", "c"],]', '[["a", 1, "c"]]', '[["a\\t", "b", "c"]]', '[["a", "b", "c"]', "", None, "[]", '[["", "b", "é"]] ',
+    ]
+    got = {}
+    for r in files.parse_fact_lines(spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")).collect():
+        got.setdefault(r.line_no, []).append((r.subject, r.predicate, r.object))
+    assert got == {
+        0: [("a", "b c", "d")], 1: [("a", "b c", "d")], 2: [("x", "y", "z"), ("p", "q", "r")], 3: [("a", "b", "c")], 4: [("a", "b", "c")], 5: [("a", "1", "c")], 6: [("a\t", "b", "c")], 11: [("", "b", "é")],
+    }

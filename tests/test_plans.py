@@ -4,7 +4,7 @@ import pytest
 
 from factloom.operators import movies
 from factloom.operators.movies import MovieGraph
-from factloom.plans import cypher, questions, rendering, retrieval
+from factloom.plans import cli, cypher, questions, rendering, retrieval
 from factloom.plans.agent import ToolAgent, ValidatingAgent, tool_call_in
 from factloom.plans.models import HashedEmbedder, ScriptedChat, embed_column
 from factloom.plans.tools import Toolbox
@@ -203,3 +203,21 @@ def test_translator_and_split(spark):
     df = spark.createDataFrame([(f"q{k}",) for k in range(500)] * 2, "question string")
     train, held = questions.split_examples(df)
     assert train.count() + held.count() == 1000 and 50 < held.count() < 160 and train.join(held, "question").count() == 0
+
+
+def scripted():
+    return ScriptedChat("Answer: Rome")
+
+
+def test_command_line_and_chat(spark, tmp_path, capsys):
+    (tmp_path / "in.txt").write_text("[['Ann', 'lives_in', 'Rome']]\n[['Bo', 'lives_in', 'Oslo']]\n")
+    path = str(tmp_path / "s")
+    assert cli.main(["index", path, str(tmp_path / "in.txt")]) == 0
+    assert FactStore(spark, path).read().filter("embedding is null").count() == 0
+    assert cli.main(["answer", path, "where is Ann?", "where is Bo?", "--model", "tests.test_plans:scripted", "--save", str(tmp_path / "out")]) == 0
+    assert cli.main(["entity", path, "ann"]) == 0
+    out = capsys.readouterr().out
+    assert "2 facts" in out and out.count("Rome") >= 2 and '"answers": 2' in out and spark.read.json(str(tmp_path / "out")).count() == 2
+    said = []
+    runs = cli.chat(Toolbox(spark, FactStore(spark, path), HashedEmbedder(64)), scripted(), ["/help", "where is Ann?", "/history", "/nope", "/stats", "", "/quit", "never"], said.append)
+    assert [r.query for r in runs] == ["where is Ann?"] and said[1] == "Rome" and "/tools" in said[0] and "unknown" in said[3] and said[4] == "2 facts, 1 questions"
