@@ -1,3 +1,7 @@
+from pathlib import Path
+
+import pytest
+
 from factloom.llm import entity_linking
 from factloom.llm.entity_linking import components, link_entities, linked_pairs
 
@@ -63,3 +67,12 @@ def test_pairs_of_one_family_come_once(spark):
     assert [k for k, w in one & two if not w] == ["P|vimajucmur|a"]
     slip = entity_linking.block_keys("Ann Vimajucumr", "person")
     assert any(w and {x for k2, x in one if k2 == k} - {w} for k, w in slip)
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the small tables")
+def test_blocks_lose_nothing_against_all_pairs(spark, monkeypatch):
+    """Clusters of a whole small table with blocks and with one block that holds all records."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/entities.parquet")
+    got = {r.entity_id: r.cluster_id for r in link_entities(rows).collect()}
+    monkeypatch.setattr(entity_linking, "block_keys", lambda name, kind: {("all", "")})
+    assert got == {r.entity_id: r.cluster_id for r in link_entities(rows).collect()} and len(set(got.values())) < len(got)

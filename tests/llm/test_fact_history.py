@@ -1,8 +1,10 @@
 import random
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm.fact_history import FactHistory, Predicates, asked_pieces, held_pieces, judge_batches, keyed_facts, near_words
+from factloom.llm.fact_history import FactHistory, Predicates, asked_pieces, held_pieces, judge_batches, keyed_facts, load_predicates, near_words
 from factloom.llm.names import NICKNAMES, same_value, within_one
 
 RELATIONS = [("born_in", "place of birth"), ("birthPlace", "place of birth, see notes"), ("works_for", "employer of a person"), ("employed_by", "employer of a person"), ("employerOf", None), ("spouse", "wife or husband"), ("student_of", "teacher of a person"), ("founded", "organisation a person set up"), ("founderOf", None), ("year_of_birth", "birth year"), (None, "x")]
@@ -120,3 +122,26 @@ def test_words_of_long_values_stay_few():
     assert len(held_pieces(text)[1]) <= 602
     shorter = " ".join(text.split()[:13])
     assert any(c.endswith("many") for _, c in held_pieces(shorter)[1])
+
+
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").exists(), reason="needs the small tables")
+def test_small_tables_like_all_pairs(spark):
+    """Verdicts on whole small tables like those of a comparison of every proposal with every fact before it."""
+    read = lambda t: spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+    got = verdicts(judge_batches(read("triplets"), read("proposals"), read("relation_schema")))
+    predicates = load_predicates(read("relation_schema"))
+    key = lambda x: "".join(c for c in (x or "").lower() if c.isalnum())
+    before = [(r.subject, r.predicate, r.obj) for r in read("triplets").collect()]
+    before = [(tuple(map(key, f)), f, predicates.code_of(f[1])) for f in before if all(map(key, f))]
+    wanted = {}
+    for r in sorted(read("proposals").collect(), key=lambda r: (r.batch_no or 0, r.proposal_id)):
+        fact = (r.subject, r.predicate, r.obj)
+        keys = tuple(map(key, fact))
+        if all(keys):
+            cls = predicates.code_of(r.predicate)
+            same = lambda f, c: c == cls and (
+                (same_value(fact[0], f[0]) and same_value(fact[2], f[2], cls not in predicates.places)) or (cls in predicates.symmetric and same_value(fact[0], f[2]) and same_value(fact[2], f[0]))
+            )
+            wanted[r.proposal_id] = "exact" if any(k == keys for k, _, _ in before) else "near" if any(same(f, c) for _, f, c in before) else "new"
+            before.append((keys, fact, cls))
+    assert got == wanted and {"exact", "near", "new"} == set(wanted.values())
