@@ -70,6 +70,11 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p6_leaks(spark, sf_dir).select("doc_id", "item_id")
 
 
+def p6_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with the items of which they hold 12 words in a row."""
+    return p6_leaks(spark, sf_dir).filter("kind = 'verbatim'").select("doc_id", "item_id")
+
+
 def p6_leaked_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per item: in how many documents it leaked, verbatim and edited."""
     leaks = p6_leaks(spark, sf_dir)
@@ -116,6 +121,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_clusters": p5_clusters,
     "p6_found": p6_found,
     "p6_leaks": p6_leaks,
+    "p6_verbatim": p6_verbatim,
     "p6_leaked_items": p6_leaked_items,
     "p7_mixture": p7_mixture,
     "p7_shares": p7_shares,
