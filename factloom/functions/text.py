@@ -4,8 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-#: Everything that is neither a letter nor a digit (Unicode categories L and N).
-NOT_ALNUM = r"[^\p{L}\p{N}]"
+# Blocks of ideographs that are letters since Unicode 15 and that Java 17 does not know.
+_NEW_IDEOGRAPHS = r"\x{2EBF0}-\x{2EE5D}\x{31350}-\x{323AF}"
+#: A letter or a digit (Unicode categories L and N), and everything that is neither.
+ALNUM = rf"[\p{{L}}\p{{N}}{_NEW_IDEOGRAPHS}]"
+NOT_ALNUM = rf"[^\p{{L}}\p{{N}}{_NEW_IDEOGRAPHS}]"
 
 
 def value_key(value: Column) -> Column:
@@ -16,7 +19,7 @@ def value_key(value: Column) -> Column:
 
 def has_key(value: Column) -> Column:
     """Whether :func:`value_key` is not null; cheaper than the key, since the first letter or digit decides."""
-    return F.coalesce(value.rlike(r"[\p{L}\p{N}]"), F.lit(False))
+    return F.coalesce(value.rlike(ALNUM), F.lit(False))
 
 
 def humanize(value: Column) -> Column:
