@@ -4,7 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.llm.fact_history import FactHistory, Predicates, asked_pieces, held_pieces, judge_batches, keyed_facts, load_predicates, near_words
+from factloom.llm.fact_history import FactHistory, Predicates, asked_pieces, asked_signed, held_pieces, held_signed, judge_batches, keyed_facts, load_predicates, near_words
 from factloom.llm.names import NICKNAMES, same_value, within_one
 
 RELATIONS = [("born_in", "place of birth"), ("birthPlace", "place of birth, see notes"), ("works_for", "employer of a person"), ("employed_by", "employer of a person"), ("employerOf", None), ("spouse", "wife or husband"), ("student_of", "teacher of a person"), ("founded", "organisation a person set up"), ("founderOf", None), ("year_of_birth", "birth year"), (None, "x")]
@@ -145,3 +145,42 @@ def test_small_tables_like_all_pairs(spark):
             wanted[r.proposal_id] = "exact" if any(k == keys for k, _, _ in before) else "near" if any(same(f, c) for _, f, c in before) else "new"
             before.append((keys, fact, cls))
     assert got == wanted and {"exact", "near", "new"} == set(wanted.values())
+
+
+def _may_agree(a, b):
+    fits = lambda x, y: x & y in (x, y) or (x ^ y).bit_count() <= 2
+    word, rest = (a & ((1 << 20) - 1), b & ((1 << 20) - 1)), (a >> 20 & 1023, b >> 20 & 1023)
+    return fits(*rest) and (fits(*word) or ((a | b) >= 1 << 30 and not (rest[0] and rest[1])))
+
+
+def test_signatures_miss_nothing_that_comparison_accepts():
+    rng = random.Random(8)
+    names = [f"{a}{b}{c}" for a in ("Vimaj", "Gulog", "Oslar") for b in ("uc", "ov") for c in ("mur", "stick")]
+    fields, kinds = ["Energy", "Egnery", "Optical", "Opt", "Dairy"], ["University", "Univ", "Universty", "Trust", "Society of", "Society", "Dairy Foundation", "DF", ""]
+    values = sorted({" ".join(x for x in rng.choice([(n, f, k), (k, n, f), (n, k), (f, k), (n[:4], f, k), (n[0] + f[0], k), (f, n), ("Margaret", n), ("Peggy", n), ("M.", n), ("Margraet", n)]) if x) for n in names for f in fields for k in kinds for _ in range(2)})
+    for v in rng.sample(values, 200):
+        i = rng.randrange(len(v))
+        values += [v[:i] + v[i + 1 :], v[:i] + "x" + v[i:], v[:i] + v[i + 1 : i + 2] + v[i : i + 1] + v[i + 2 :]]
+    values = rng.sample(values, 700)
+    asked, held = [asked_signed(v) for v in values], [held_signed(v) for v in values]
+    words = sorted({w for _, pairs in held for w, _, _ in pairs})
+    near = {w: [x for x in words if near_words(w, x)] for w in words}
+    rows = lambda pieces, of: [((w, ""), a) for w, a in pieces[0]] + [((x, c), a) for w, c, a in pieces[1] for x in of(w)]
+    kept = {}
+    for j, pieces in enumerate(held):
+        for key, a in rows(pieces, lambda w: (w,)):
+            kept.setdefault(key, []).append((j, a))
+    met = {(i, j) for i, pieces in enumerate(asked) for key, a in rows(pieces, lambda w: near.get(w, ())) for j, b in kept.get(key, ()) if _may_agree(a, b)}
+    missed = [(values[i], values[j]) for i in range(len(values)) for j in range(len(values)) if i != j and (i, j) not in met and same_value(values[i], values[j])]
+    assert not missed
+
+
+def test_words_that_many_organisations_share_do_not_bring_them_together(spark, tmp_path):
+    rng = random.Random(3)
+    stems = sorted({"".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) + "stick" for _ in range(3000)})
+    rows = spark.createDataFrame([(i, f"{w} Energy {('Society', 'Trust', 'Company')[i % 3]}", "seat", "Bath") for i, w in enumerate(stems)], "id long, s string, p string, o string")
+    kept = FactHistory(spark, str(tmp_path), Predicates(RELATIONS))
+    name = kept.append(keyed_facts(rows, "s", "p", "o", F.col("id")))
+    # before, all words with one ending and all organisations with a word and an initial in common met
+    assert kept._slips(name, [name]).count() < 20 * len(stems)
+    assert kept.met(name, [name]).count() < 20 * len(stems)
