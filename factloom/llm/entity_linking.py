@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.text import value_key
-from factloom.llm.fact_history import slip_pieces
+from factloom.llm.fact_history import left_by_slips, letters, may_agree, signature, slip_pieces
 from factloom.llm.names import FUNCTION_WORDS, LEGAL_FORMS, NICKNAMES, ORG_WORDS, given_match, orders, parse, same_org, same_person
 from factloom.session import spool
 
@@ -40,7 +40,8 @@ def block_keys(name: str, kind: str | None) -> set[tuple[str, str]]:
     """The blocks of a spelling, as (block, word): a word with the initial of another word, however common the word is.
 
     Records with the same word share the block of the word itself, whose word is given as empty; those with words one slip apart share
-    a block of what a slip leaves, in which only records with different words meet, so that no pair comes once for every slip.
+    a block of what a slip leaves, in which only records with different words meet, so that no pair comes once for every slip. The
+    latter blocks are not made for every record: which words are one slip apart is found from the distinct words (:func:`_pairs`).
     """
     value = parse(name)
     keys: set[tuple[str, str]] = set()
@@ -133,19 +134,63 @@ def _pairs(records: DataFrame, only_changed: bool) -> DataFrame:
     def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                (_hash(k), c, bool(g), _hash(w) if w else 0)
+                (_hash(f"{as_what}|{word}"), _hash(context), c, bool(g), alike, as_what == "O", word if as_what in "PO" and len(word) >= 4 else None)
                 for c, kind, names, g in zip(b["cid"], b["kind"], b["names"], b["grew"])
-                for k, w in set().union(*(block_keys(n, kind) for n in names))
+                for (as_what, word, context), alike in _posted(names, kind)
             ]
-            yield pd.DataFrame(rows, columns=["key", "cid", "grew", "word"]).astype({"key": "int64", "cid": "int64", "grew": "bool", "word": "int64"})
-
-    postings = spool(_spread(records.select("cid", "kind", "names", "grew")).mapInPandas(keys, "key long, cid long, grew boolean, word long"), "postings")
-    hot = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).alias("parts"))
-    dealt = postings.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    left = dealt.select("key", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.col("cid").alias("a"), F.col("grew").alias("ga"), F.col("word").alias("wa"))
-    right = dealt.select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cid").alias("b"), F.col("grew").alias("gb"), F.col("word").alias("wb"))
-    pairs = left.join(right, ["key", "part"]).filter("a < b and (wa = 0 or wa <> wb)")
-    return (pairs.filter("ga or gb") if only_changed else pairs).select("a", "b").distinct()
+            yield pd.DataFrame(rows, columns=["word", "context", "cid", "grew", "alike", "org", "spelled"]).astype({"word": "int64", "context": "int64", "cid": "int64", "grew": "bool", "alike": "int32", "org": "bool"})
+
+    postings = spool(
+        _spread(records.select("cid", "kind", "names", "grew")).mapInPandas(keys, "word long, context long, cid long, grew boolean, alike int, org boolean, spelled string"), "postings"
+    )
+    # words one slip apart, from the distinct words and not from the records that have them
+    words = postings.filter("spelled is not null").select("word", "org", "spelled").distinct()
+    left = left_by_slips(words.select(F.struct("word", "org").alias("word"), "spelled")).select(F.xxhash64("left", "word.org").alias("left"), "word.word")
+    slips = spool(left.join(left.withColumnRenamed("word", "near"), "left").filter("word <> near").select("word", "near").distinct(), "slips")
+    row = lambda word: [F.xxhash64(word, "context").alias("key"), "cid", "grew", "alike"]
+    same = postings.select(*row("word"))
+    asked = same.unionByName(postings.join(slips, "word").select(*row("near")))
+    if only_changed:  # a record that grew asks for all, the others for none
+        asked = asked.filter("grew")
+    hot = same.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("key", F.ceil(F.col("n") / HOT).alias("parts"))
+    deal = lambda side: side.join(hot, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    left = deal(asked).select("key", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("cid").alias("a"), F.col("alike").alias("alike_a"))
+    right = deal(same).select("key", F.pmod(F.xxhash64("cid"), "parts").alias("part"), F.col("cid").alias("b"), F.col("grew").alias("gb"), F.col("alike").alias("alike_b"))
+    # two that grew, or any two of the first round, ask for each other; one direction is enough
+    once = F.col("a") < F.col("b") if not only_changed else (F.col("a") < F.col("b")) | (~F.col("gb") & (F.col("a") > F.col("b")))
+    pairs = left.join(right, ["key", "part"]).filter(once & may_agree("alike_a", "alike_b"))
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _posted(names: list[str], kind: str | None) -> set[tuple[tuple[str, str, str], int]]:
+    """((what it is found as, word, context), signature) of the blocks of all spellings of a record, but for those of slips."""
+    out = set()
+    for n in names:
+        alike = _signatures(n)
+        for block, word in block_keys(n, kind):
+            if not word:
+                as_what, found_by, context = (block.split("|") + ["", ""])[:3]
+                out.update(((as_what, found_by, context), a) for a in alike.get((as_what, found_by, context), {0}))
+    return out
+
+
+def _signatures(name: str) -> dict[tuple[str, str, str], set[int]]:
+    """Per block: the letters of the given name, or what the other words of an organisation look like; of three words, both of the others."""
+    value = parse(name)
+    words = [t for t in value.tokens if t not in FUNCTION_WORDS and t not in LEGAL_FORMS]
+    out: dict[tuple[str, str, str], set[int]] = {}
+    for surname, given in orders(value):
+        for full in {given[0], *NICKNAMES.get(given[0], "").split()} if given else ():
+            out.setdefault(("P", surname, full[0]), set()).add(letters(full, 20) if len(full) > 1 else 0)
+        if given and len(given[0]) > 3:
+            out.setdefault(("e", surname, given[0][-3:]), set()).add(letters(given[0], 20))
+    for w in words:
+        others = [o for o in words if o is not w]
+        for k, o in enumerate(others):
+            alike = signature(o, others[1 - k] if len(words) == 3 and len(others) == 2 else "")
+            for i in (o[0], *(o if len(o) <= 4 else ())):
+                out.setdefault(("O", w, i), set()).add(alike)
+    return out
 
 
 def _hash(text: str) -> int:

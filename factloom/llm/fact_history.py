@@ -426,13 +426,14 @@ def _asked_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def left_by_slips(words: DataFrame) -> DataFrame:
-    """(``left``, ``word``): words less one letter and whole; two words at most one slip apart always share one.
+    """(``left``, ``word``): words whole and, of five letters or more, less one letter; two words at most one slip apart always share one.
 
     Unlike the halves of words, which many words share in a long table, these are shared by few others.
     """
     n = F.length("spelled")
     less = F.transform(F.sequence(F.lit(1), n), lambda i: F.xxhash64(F.concat(F.substring("spelled", F.lit(1), i - 1), F.substring("spelled", i + 1, n))))
-    return words.select(F.explode(F.array_distinct(F.array_append(less, F.xxhash64("spelled")))).alias("left"), "word")
+    whole = F.xxhash64("spelled")
+    return words.select(F.explode(F.when(n < 5, F.array(whole)).otherwise(F.array_distinct(F.array_append(less, whole)))).alias("left"), "word")
 
 
 class FactHistory:

@@ -1,3 +1,4 @@
+import random
 from pathlib import Path
 
 import pytest
@@ -76,3 +77,15 @@ def test_blocks_lose_nothing_against_all_pairs(spark, monkeypatch):
     got = {r.entity_id: r.cluster_id for r in link_entities(rows).collect()}
     monkeypatch.setattr(entity_linking, "block_keys", lambda name, kind: {("all", "")})
     assert got == {r.entity_id: r.cluster_id for r in link_entities(rows).collect()} and len(set(got.values())) < len(got)
+
+
+def test_a_word_that_many_organisations_share_does_not_bring_them_together(spark):
+    """Before, all organisations with a word and an initial in common were pairs, so pairs grew with the square of the table."""
+    rng = random.Random(3)
+    stems = sorted({"".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(4)) + "stick" for _ in range(1500)})
+    names = [f"{w.capitalize()} Energy {('Society', 'Trust', 'Company')[k % 3]}" for k, w in enumerate(stems)]
+    rows = [(k, None if k % 2 else "organisation", [n], True) for k, n in enumerate(names)]
+    rows += [(len(names), None, [names[5].replace("Energy", "Enregy")], True), (len(names) + 1, None, [f"Energy {names[9].split()[2]} {names[9][:7]}."], True)]
+    pairs = {(r.a, r.b) for r in entity_linking._pairs(spark.createDataFrame(rows, "cid long, kind string, names array<string>, grew boolean"), False).collect()}
+    assert (5, len(names)) in pairs and (9, len(names) + 1) in pairs
+    assert len(pairs) < 20 * len(names)
